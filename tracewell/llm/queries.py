@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.packing import op9_packing
 from tracewell.llm.simhash import op10_simhash
+from tracewell.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
