@@ -2,12 +2,14 @@
 
 Every source is a queue of its documents in a shuffled but fixed order (a hash of id and text), up to ``EPOCHS`` times
 over. A document's virtual finish time is the number of its source's words up to and including it, divided by the
-source's target. Served in order of finish time, the queues advance in proportion to their targets; the stream is
-cut where the total budget (all words) is used up.
+source's target. Served in that order, the queues advance in proportion to their targets; the stream is cut where the total
+budget (all words) is used up. Documents stay whole, and so that the cut leaves each source as near its target as whole
+documents allow, it goes by the virtual time at which half of a document has been served: a long document that is
+nearly through is finished, one that has just begun is left out. The order within a source is the same either way.
 
 Running sums never go through one task: each source is dealt into buckets by the shuffling hash, sums of whole buckets
 are added up over a table with one row per bucket, and only within a bucket are rows added up one by one. The cut is
-found the same way over ranges of finish time, of which only the one that holds the cut is sorted. What is cut is
+found the same way over ranges of virtual time, of which only the one that holds the cut is sorted. What is cut is
 a prefix of each source's queue, so one number per source describes the whole mix.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import cut, n_words
 
 EPOCHS, WEIGHTS, SEED = 3, (1, 2, 3), 20
-#: Rows in a bucket of a source, about; ranges of finish time in one unit of it.
+#: Rows in a bucket of a source, about; ranges of virtual time in one unit of it.
 BUCKET_ROWS, RANGES = 10_000, 4096
 #: Order of a source's queue. Rows equal in all of these are repeated rows and interchangeable.
 QUEUE = ("h", "t", "doc_id", "size")
@@ -69,15 +71,15 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     budget = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     at = F.col("epoch") * F.col("source_size") + F.col("upto")
     entries = cut(_ranked(slim, buckets).where("target > 0").select("key", *QUEUE, "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
-                  .select("key", *QUEUE, "epoch", at.alias("position"), (at / F.col("target")).alias("finish"))
-                  .withColumn("range", F.least(F.floor(F.col("finish") * RANGES), F.lit(2 * RANGES))))
+                  .select("key", *QUEUE, "epoch", at.alias("position"), ((at - F.col("size") / 2) / F.col("target")).alias("halfway"))
+                  .withColumn("range", F.least(F.floor(F.col("halfway") * RANGES), F.lit(2 * RANGES))))
     so_far = Window.orderBy("range")
     ranges = entries.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(so_far))
     last = ranges.where(F.col("upto") > budget).orderBy("range").select("range", (F.col("upto") - F.col("words")).alias("before")).first()
     if last is None:  # all that the queues hold is within the budget
         served = entries
     else:
-        line = Window.orderBy("finish", "key", "epoch", *QUEUE).rowsBetween(Window.unboundedPreceding, 0)
+        line = Window.orderBy("halfway", "key", "epoch", *QUEUE).rowsBetween(Window.unboundedPreceding, 0)
         edge = entries.where(F.col("range") == last["range"]).withColumn("total", F.sum("size").over(line) + last["before"])
         served = entries.where(F.col("range") < last["range"]).unionByName(edge.where(F.col("total") <= budget).drop("total"))
     ends = served.groupBy("key").agg(F.max("position").alias("served"))
@@ -94,7 +96,7 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of ``docs``.
 
     Null texts have size 0 and null sources form one source, the last. Documents are taken whole, so a source's taken
-    words differ from its target by about a document. Repeated rows are queued one by one. If there are no words at
+    words differ from its target by about half a document. Repeated rows are queued one by one. If there are no words at
     all, targets and taken words are 0; an empty table gives no rows.
     """
     slim, buckets, _ = plan(docs)
