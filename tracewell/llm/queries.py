@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.packing import op9_packing
+from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
 from tracewell.llm.simhash import op10_simhash
 from tracewell.llm.warc import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
