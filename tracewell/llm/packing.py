@@ -14,7 +14,11 @@ size. Recovery is Spark's own: the stage has no shuffle before it, and a task th
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from tracewell.llm.common import small_batches
 
 CAPACITY, MAX_SEGMENTS, END_ID = 4096, 64, 2
 POOL, POOL_TOKENS = 512, 1 << 20
-CACHED, CACHED_CHARS = 200_000, 48
+CACHED, CACHED_CHARS, TOGETHER, TEXT_CHARS = 400_000, 48, 200, 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
@@ -37,30 +41,95 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts; pieces between plain white space are encoded once and kept (up to ``CACHED`` of them).
+    """Token ids of whole texts. Runs of letters and runs of other characters are encoded once and kept.
 
-    The vocabulary's pre-tokeniser drops white space and never joins across it, so the ids of a text are those of its
-    pieces one after the other.
+    The vocabulary's pre-tokeniser drops white space and never joins letters with anything else, so the ids of a text
+    are those of its runs one after the other; only an apostrophe can tie runs together ("it's"), and what stands between
+    white space around one is kept whole. Texts are lower-cased first, as the tokeniser does, unless that would not commute
+    with its normalisation.
+
+    Runs are kept in two generations of at most ``CACHED``: when the young one is full it becomes the old one, and what
+    is met again moves back to the young one. Memory is bounded, and frequent words stay.
     """
 
+    RUN = re.compile(r"[^\W\d_]+|(?:[\d_]|[^\w \t\n\r])+")
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(p for p, f in zip(pieces, found, strict=True) if f is None))
-            codes = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            at = dict(zip(new, codes, strict=True))
-            found = [at[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-            if len(self.known) > CACHED:
-                self.known = {"": b""}
-            self.known.update((p, c) for p, c in at.items() if len(p) <= CACHED_CHARS)
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        #: The same vocabulary for lower-case, normalised words between spaces, which need no more preparation than that.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.model._resize_cache(0)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def runs(self, text: str) -> list[str]:
+        if "<|" in text:  # a special token may be spelt out
+            return [text]
+        if not is_normalized("NFC", text):  # marks may yet join the letters before them
+            return re.split("[ \t\n\r]+", text)
+        low = text.lower()
+        if "\u03a3" in text or not is_normalized("NFC", low):
+            low = text
+        if "'" not in low:
+            return self.RUN.findall(low)
+        found = []
+        for piece in re.split("[ \t\n\r]+", low):
+            found += [piece] if "'" in piece else self.RUN.findall(piece)
+        return found
+
+    def _encode(self, new: list[str]) -> dict[str, bytes]:
+        words = [w for w in new if w.isalpha() and w == w.lower() and is_normalized("NFC", w)]
+        joined = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        ids = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        known = {}
+        if len(ends) == len(words):
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            known = {w: data[a:b] for w, a, b in zip(words, at, at[1:], strict=False)}
+        rest = [w for w in new if w not in known]
+        codes = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        return known | {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(rest, codes, strict=True)}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; what is not known yet is encoded for all of them at once."""
+        runs = [self.runs(t) for t in texts]
+        found = [list(map(self.young.get, r)) for r in runs]
+        missing = dict.fromkeys(r for rs, fs in zip(runs, found, strict=True) if None in fs for r, f in zip(rs, fs, strict=True) if f is None)
+        if missing:
+            at = {r: c for r in missing if (c := self.old.get(r)) is not None}
+            at |= self._encode([r for r in missing if r not in at])
+            found = [[at[r] if f is None else f for r, f in zip(rs, fs, strict=True)] if None in fs else fs for rs, fs in zip(runs, found, strict=True)]
+            if len(self.young) > CACHED:
+                self.old, self.young = self.young, {}
+            self.young.update((r, c) for r, c in at.items() if len(r) <= CACHED_CHARS)
+        return [np.frombuffer(b"".join(f), dtype="<u4") for f in found]
+
+
+def groups(rows: list[tuple], chars: int = TEXT_CHARS):
+    """``rows`` (doc_id, text, ...) in turn, in lists of about ``chars`` characters, so that long texts come alone."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[1] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it keeps outlives a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+    return Encoder(path)
 
 
 class Packer:
@@ -149,7 +218,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
                        (F.lit(0) if prompt is None else F.coalesce(prompt, F.lit(0))).cast("long").alias("prompt"))
 
     def run(batches):
-        encoder, packer = Encoder(path), Packer(TaskContext.get().partitionId() << 40, capacity, max_segments, max_loss)
+        encode, packer = encoder(path).ids, Packer(TaskContext.get().partitionId() << 40, capacity, max_segments, max_loss)
 
         def out():
             rows, packer.rows = packer.rows, []
@@ -157,8 +226,9 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
-            for doc_id, text, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                packer.add(doc_id, np.concatenate([encoder.ids(text or ""), end]), n)
+            for group in groups(list(zip(*(c.to_pylist() for c in b.columns), strict=True))):
+                for (doc_id, _, n), ids in zip(group, encode([row[1] or "" for row in group]), strict=True):
+                    packer.add(doc_id, np.concatenate([ids, end]), n)
                 if len(packer.rows) >= 20_000:
                     yield out()
         packer.finish()
