@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.packing import op9_packing
+from tracewell.llm.pii import op4_pii
 from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
 from tracewell.llm.simhash import op10_simhash
 from tracewell.llm.warc import op3_warc
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
+    "op4_pii": op4_pii,
     "op7_winnowing": op7_winnowing,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
