@@ -24,7 +24,7 @@ from tracewell.llm.common import cut, n_words
 
 EPOCHS, WEIGHTS, SEED = 3, (1, 2, 3), 20
 #: Rows in a bucket of a source, about; ranges of virtual time in one unit of it.
-BUCKET_ROWS, RANGES = 10_000, 4096
+BUCKET_ROWS, RANGES = 2000, 4096
 #: Order of a source's queue. Rows equal in all of these are repeated rows and interchangeable.
 QUEUE = ("h", "t", "doc_id", "size")
 
