@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell.llm.language import op8_language
 from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.packing import op9_packing
 from tracewell.llm.pii import op4_pii
+from tracewell.llm.quality_model import op6_quality
 from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
 from tracewell.llm.simhash import op10_simhash
 from tracewell.llm.warc import op3_warc
@@ -19,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
+    "op6_quality": op6_quality,
     "op7_winnowing": op7_winnowing,
+    "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
