@@ -13,6 +13,7 @@ from tracewell.llm.pii import op4_pii
 from tracewell.llm.quality_model import op6_quality
 from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
 from tracewell.llm.simhash import op10_simhash
+from tracewell.llm.toxicity import op5_toxicity
 from tracewell.llm.warc import op3_warc
 from tracewell.llm.winnowing import op7_winnowing
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_quality": op6_quality,
     "op7_winnowing": op7_winnowing,
     "op8_language": op8_language,

@@ -148,13 +148,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id, all columns kept.
+    """One document of each group of near-duplicates: the one with the least id, all columns kept; of repeated rows with
+    that id one stays.
 
-    The deciding ids are joined to the documents; of repeated rows with that id one stays. A group in which
-    every id is null keeps one row.
+    Rows without id cannot be named as a group's first: of those with the same text one stays, and they are not
+    compared with the others.
     """
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = near_duplicates(named.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
