@@ -27,7 +27,7 @@ class HistogramForColumns(Inspection):
     def visit(self, node, frame, parents):
         if frame is None:
             return {c: {} for c in self.sensitive}
-        touched = node.context.function in ("with_column", "replace", "label_binarize", "Imputer", "OneHot", "Scaler", "KBins") and set(self.sensitive) & set(node.columns)
+        touched = node.context.function in ("with_column", "replace", "label_binarize", "Imputer") and set(self.sensitive) & set(node.columns)
         if len(parents) == 1 and parents[0] is not None and (node.context.operator in ROW_PRESERVING and not touched):
             return parents[0]
         if node.context.operator is OperatorType.CONCATENATION and parents and parents[0] is not None and all(p == parents[0] for p in parents):

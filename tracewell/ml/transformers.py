@@ -67,7 +67,7 @@ class Fitted:
         made = self.expressions()
         items = [f"{made[c].sql()} AS {quoted(c)}" if c in made else quoted(c) for c in frame.columns]
         name = type(self.transformer).__name__
-        return frame.transformed(name, f"{name}: {self.columns}", {c: e.column() for c, e in made.items()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}", track=self.columns)
+        return frame.transformed(name, f"{name}: {self.columns}", {c: e.column() for c, e in made.items()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}", track=self.columns if self.transformer.keeps_names else ())
 
 
 @dataclass
