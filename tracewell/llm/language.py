@@ -125,14 +125,15 @@ def fit(docs: DataFrame, n: int = SAMPLE_ROWS) -> LanguageModel:
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` from every whole text."""
+    """``docs`` with ``lang_pred`` and ``score`` (in the place of columns of those names) from every whole text."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", run("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    made = docs.select(F.struct("*").alias("row"), run("text").alias("made"))
+    return made.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], "made.lang_pred", "made.score")
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

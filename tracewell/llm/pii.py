@@ -120,30 +120,36 @@ def by_document(all_spans: DataFrame) -> DataFrame:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``, an empty array where there are none. All columns and repeated rows stay."""
-    per = by_document(spans(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(per, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_t")), "left")
-    return joined.withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<rank:bigint,start:bigint,end:bigint,kind:string>>")))
+    """(row, spans) for every row of ``docs``: the row itself as a struct, so that no column of it can clash with others, and
+    its spans, an empty array where there are none."""
+    per = by_document(spans(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("d"), "t", F.col("spans").alias("found"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    joined = keyed.join(per, F.col("own").eqNullSafe(F.col("d")) & (F.col("k") == F.col("t")), "left")
+    return joined.select("row", F.coalesce("found", F.array().cast("array<struct<rank:bigint,start:bigint,end:bigint,kind:string>>")).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew. Null texts stay null.
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` (if there is such a column) counted
+    anew. Null texts stay null; all other columns and repeated rows stay.
 
     Where spans of different kinds overlap, the first one's kind is written and all of them go.
     """
-    ordered = F.sort_array(F.transform("_spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
-    first = lambda s, so_far: F.when(s["start"] >= so_far, F.concat(F.substring(F.col("text"), so_far + 1, s["start"] - so_far), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+    text = F.col("row.text")
+    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
+    first = lambda s, so_far: F.when(s["start"] >= so_far, F.concat(F.substring(text, so_far + 1, s["start"] - so_far), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
     step = lambda a, s: F.struct(F.concat(a["out"], first(s, a["at"])).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-    whole = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text") - a["at"])))
-    changed = with_spans(docs).withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(whole))
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text) - a["at"])))
+    made = with_spans(docs).select(F.col("row").withField("text", F.when(F.size("spans") == 0, text).otherwise(whole)).alias("row"))
+    if "n_chars" in docs.columns:
+        made = made.select(F.col("row").withField("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return made.select("row.*")
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     """All documents: counts by kind, a digest of the base spans, all spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    listed = lambda base: F.array_join(F.transform(F.filter("_spans", lambda s: ~base | (s["kind"] != "id")), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    of_kind = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda kept: F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     count = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
-    return with_spans(docs).select("doc_id", *count, F.sha2(listed(F.lit(True)).cast("binary"), 256).alias("base_sha256"), listed(F.lit(False)).alias("spans"))
+    base = listed(F.filter("spans", lambda s: s["kind"] != "id"))
+    return with_spans(docs).select("row.doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -117,7 +117,8 @@ class ByteNetwork:
         dx = dh @ self.p["hidden"].T
         doc = np.repeat(np.arange(len(data)), sizes)
         dv = dx[doc, :FILTERS] / sizes[doc, None]
-        top = v == most[doc]
+        top = (v == most[doc]).astype(np.float64)
+        top /= np.add.reduceat(top, firsts, axis=0)[doc]  # chunks that reach the same maximum share it
         dv += top * dx[doc, FILTERS : 2 * FILTERS]
         dv *= v > 0
         dt = np.zeros((WIDTH, 256, FILTERS))
@@ -133,20 +134,27 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> ByteNetwork
     return ByteNetwork().fit(texts, y) if 0 < y.sum() < len(y) else float(y.mean()) if len(y) else 0.5
 
 
-def score(docs: DataFrame, model: ByteNetwork | float) -> DataFrame:
-    """``docs`` with ``score``, the probability of good quality of every whole text; a null text is scored like an empty one."""
-    small_batches(docs.sparkSession)
+def scores(texts, model: ByteNetwork | float):
+    """The probability of good quality of every whole text, as a column; a null text is scored like an empty one."""
 
     @F.pandas_udf("double")
     def scored(texts):
         return texts.map(model.score) if isinstance(model, ByteNetwork) else texts.map(lambda _: model)
 
-    return docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))
+    return scored(F.coalesce(texts, F.lit("")))
+
+
+def score(docs: DataFrame, model: ByteNetwork | float) -> DataFrame:
+    """``docs`` with ``score`` (in the place of a column of that name)."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn("score", scores(F.col("text"), model))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents scored at ``threshold`` or more, all columns kept."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    """The documents scored at ``threshold`` or more, all columns kept as they are; all of them if there are no labels to learn from."""
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels)
+    return docs.select(F.struct("*").alias("row"), scores(F.col("text"), model).alias("score")).where(F.col("score") >= threshold).select("row.*")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
