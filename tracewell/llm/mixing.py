@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import cut, n_words
 
 EPOCHS, WEIGHTS, SEED = 3, (1, 2, 3), 20
-#: Rows in a bucket of a source, about; ranges of virtual time in one unit of it.
-BUCKET_ROWS, RANGES = 2000, 4096
+#: Rows in a bucket of a source, about, and buckets of a source at most; ranges of virtual time in one unit of it.
+BUCKET_ROWS, BUCKETS, RANGES = 500, 1 << 20, 4096
 #: Order of a source's queue. Rows equal in all of these are repeated rows and interchangeable.
 QUEUE = ("h", "t", "doc_id", "size")
 
@@ -61,7 +61,7 @@ def _ranked(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The keyed slim rows, the buckets with each source's size, target and number of words served, and how many buckets a source has."""
     rows = cut(_keyed(docs.select("doc_id", "source", "text"), 1).select("doc_id", "key", "h", "t", "size"))
-    n = 1 << max(0, ceil(log2(max(1, rows.count() / BUCKET_ROWS))))
+    n = min(BUCKETS, 1 << ceil(log2(max(1, rows.count() / BUCKET_ROWS))))
     slim = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - n.bit_length() + 1) if n > 1 else F.lit(0).cast("long"))
     sums = slim.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     goals = targets(sums.groupBy("key").agg(F.sum("words").alias("source_size")))
