@@ -26,22 +26,19 @@ class NoIllegalFeatures(Check):
     def evaluate(self, dag, results):
         found: set[str] = set()
 
+        # Nodes whose features are put together by a concatenation, there or above.
+        joined = dag.walk(lambda node, parents: node.context.operator is OperatorType.CONCATENATION or any(parents))
+
         def walk(node) -> None:
+            parents = dag.parents(node)
             if node.context.operator is OperatorType.CONCATENATION:
-                for parent in dag.parents(node):
-                    columns(parent)
-            elif node.context.operator in (OperatorType.TRAIN_DATA, OperatorType.TRAIN_TEST_SPLIT, OperatorType.SELECTION) and any(True for _ in dag.parents(node)) and (
-                    node.context.operator is OperatorType.TRAIN_DATA or above(node)):
-                walk(dag.parents(node)[0])
+                found.update(c for p in parents for c in p.columns if c in self.names)
+            elif joined[node]:
+                for parent in parents:
+                    if joined[parent]:
+                        walk(parent)
             else:
-                columns(node)
-
-        def above(node) -> bool:
-            """Whether a concatenation is somewhere above, so that this node's own columns are not all features."""
-            return any(p.context.operator is OperatorType.CONCATENATION or above(p) for p in dag.parents(node))
-
-        def columns(node) -> None:
-            found.update(c for c in node.columns if c in self.names)
+                found.update(c for c in node.columns if c in self.names)
 
         for node in dag.topological():
             if node.context.operator is OperatorType.TRAIN_DATA:
