@@ -370,13 +370,13 @@ def test_language(spark):
     r = np.random.default_rng(1)
     ends = {"xx": ["ing", "tion", "ed", "the"], "yy": ["ung", "keit", "isch", "der"], "zz": ["aire", "eux", "ée", "les"]}
     rows = [(i, " ".join(a + b for a, b in zip(r.choice(WORDS, 25), r.choice(ends[lang], 25), strict=True)), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 130)]
-    odd = [(9000, None, "xx"), (9001, "123 !?", "yy"), (9002, "", None), (None, "theing tioned", "xx")]
+    odd = [(9000, None, "xx"), (9001, "123 !?", "yy"), (9002, "", None), (9003, "½ Ⅷ ² 3_", None), (None, "theing tioned", "xx")]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
     model = language.fit(df)
     got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.predict(clashing(df), model).collect()}
     held = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i][0] == lang for i, lang in held]) > 0.97
-    assert got[9000] == got[9001] == got[9002] == ("und", 0.0) and got[None][0] == "xx" and all(0 <= s <= 1 for _, s in got.values())
+    assert got[9000] == got[9001] == got[9002] == got[9003] == ("und", 0.0) and got[None][0] == "xx" and all(0 <= s <= 1 for _, s in got.values())
     assert len(model.weights) - 1 < language.DIM / 4, "most weights are zero"
     assert language.fit(empty(spark)).predict("some text") == ("und", 0.0)
 

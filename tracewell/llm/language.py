@@ -23,6 +23,7 @@ DIM, N = 1 << 15, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
 #: Characters counted at a time; the last N - 1 of a piece are read again with the next, so no n-gram is lost.
 PIECE = 1 << 18
+#: Letters, and numerals that are neither letters nor decimal digits.
 LETTER = re.compile(r"[^\W\d_]")
 ASCII = np.arange(128, dtype=np.uint32)
 ASCII[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -104,7 +105,7 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its probability; ``und`` and 0 if there is no letter or no language was learned."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(m[0].isalpha() for m in LETTER.finditer(text)):
             return "und", 0.0
         at, c = counts(text)
         p = softmax((self.vector(at, c) @ self.weights[self.row[at]] + self.intercept) / self.temperature)
