@@ -39,12 +39,12 @@ def _by_place(df: DataFrame, name: str) -> DataFrame:
 
 
 def _source(session: Session, df: DataFrame, function: str, description: str, sql: str, number, operator=OperatorType.DATA_SOURCE, index: str | None = None) -> TracedFrame:
-    visible = df.columns
+    visible = [c for c in df.columns if c != index]
     node = session.record(operator, function, description, visible)
-    order = [index] if index else []
-    if session.rows:
+    order = []
+    if session.rows or index:
         name = row_column(node.node_id)
-        df = df.withColumn(name, F.col(quoted(index)).cast("long")) if index else number(df, name)
+        df = df.withColumn(name, F.col(quoted(index)).cast("long")).drop(index) if index else number(df, name)
         order = [name]
     df = df.withColumns({sensitive_column(c): F.col(quoted(c)) for c in session.sensitive if c in visible} | {f"{HIDDEN}note_{k}": v for k, v in session.notes.items()})
     return TracedFrame(session, df, node, visible, order, sql)
@@ -52,14 +52,19 @@ def _source(session: Session, df: DataFrame, function: str, description: str, sq
 
 def read_csv(path: str, spark: SparkSession | None = None, schema=None, header: bool = True, sep: str = ",", na_values: str = "?", index_col: str | int | None = None, sampling: float = 1.0) -> TracedFrame:
     """A CSV file or folder. ``na_values`` is the one symbol read as null (empty fields are null too); types are inferred from a
-    ``sampling`` share of the rows unless a schema is given. ``index_col`` names (or counts) a column that numbers the rows."""
+    ``sampling`` share of the rows unless a schema is given. ``index_col`` names (or counts) a column that numbers the rows and is not one of
+    the data."""
     session = Session.current(spark)
     reader = session.spark.read.options(header=header, sep=sep, nullValue=na_values)
     df = reader.schema(schema).csv(path) if schema is not None else reader.options(inferSchema=True, samplingRatio=sampling).csv(path)
     if na_values != "":
         df = df.withColumns({c: F.when(F.col(quoted(c)) != "", F.col(quoted(c))) for c, t in df.dtypes if t == "string"})
     index = df.columns[index_col] if isinstance(index_col, int) else index_col
-    return _source(session, df, "read_csv", os.path.basename(path.rstrip("/")), f"SELECT * FROM csv.`{path}`", _numbered, index=index)
+    options = {"header": header, "sep": sep, "nullValue": na_values, "inferSchema": schema is None}
+    typed = {c: f"CAST({quoted(c)} AS {t})" if schema is not None else quoted(c) for c, t in df.dtypes}
+    items = [f"CASE WHEN {typed[c]} <> '' THEN {typed[c]} END AS {quoted(c)}" if na_values != "" and t == "string" else f"{typed[c]} AS {quoted(c)}" for c, t in df.dtypes if c != index]
+    sql = f"SELECT {', '.join(items)} FROM csv.`{path}` WITH ({', '.join(f'{k} = {literal(str(v).lower() if isinstance(v, bool) else v)}' for k, v in options.items())})"
+    return _source(session, df, "read_csv", os.path.basename(path.rstrip("/")), sql, _numbered, index=index)
 
 
 def read_parquet(path: str, spark: SparkSession | None = None) -> TracedFrame:
