@@ -14,7 +14,7 @@ from tracewell.llm.quality_model import op6_quality
 from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
 from tracewell.llm.simhash import op10_simhash
 from tracewell.llm.toxicity import op5_toxicity
-from tracewell.llm.warc import op3_warc
+from tracewell.llm.warc import OP3_SQL, op3_warc
 from tracewell.llm.winnowing import op7_winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op3_warc": OP3_SQL,
 }

@@ -181,3 +181,20 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/streams")
     return read(normalise(spark, f"{folder}/streams", f"{folder}/members"))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p
+), b AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (1 + 10 * (k // 8))::BIGINT, 10))::BIGINT) >> (35 - 5 * (k % 8))) & 31) + 1, 1)), '') AS payload_digest FROM d
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM b
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
