@@ -149,11 +149,23 @@ class ToxicField:
 
     @staticmethod
     def _telling(words: list[list[str]], y: np.ndarray) -> set[str]:
+        """Features of at least ``MIN_DOCS`` toxic documents and hardly any others. Toxic documents that this leaves without one are
+        few and may use words of their own: of features that two or more of them share and no other document has,
+        those of most documents are taken first, until each such document has one."""
+        sets = [{f for w in set(ws) for f in features(w) if not f.startswith(">") and f != "-"} for ws in words]
         toxic, other = Counter(), Counter()
-        for ws, mark in zip(words, y, strict=True):
-            (toxic if mark else other).update({f for w in set(ws) for f in features(w) if not f.startswith(">") and f != "-"})
+        for fs, mark in zip(sets, y, strict=True):
+            (toxic if mark else other).update(fs)
         share = RATIO * y.sum() / max(1.0, len(y) - y.sum())
-        return {f for f, n in toxic.items() if n >= MIN_DOCS and n >= share * (other[f] + 0.5)}
+        telling = {f for f, n in toxic.items() if n >= MIN_DOCS and n >= share * (other[f] + 0.5)}
+        left = [fs for fs, mark in zip(sets, y, strict=True) if mark and telling.isdisjoint(fs)]
+        while True:
+            counts = Counter(f for fs in left for f in fs if f not in other)
+            best = min(counts, key=lambda f: (-counts[f], len(f), f), default=None)
+            if best is None or counts[best] < 2:
+                return telling
+            telling.add(best)
+            left = [fs for fs in left if best not in fs]
 
     def _learn(self, windows: list, marks: list, rng) -> None:
         """AdaGrad on the log-likelihood: expected minus observed counts of features and transitions."""
