@@ -31,6 +31,10 @@ class Inspection(ABC):
     def visit(self, node: DagNode, frame: TracedFrame | None, parents: list) -> object:
         """The result at ``node``, given the results at its parents. ``frame`` is None where an operator has no rows (an estimator)."""
 
+    def visit_all(self, dag, frames: dict[DagNode, TracedFrame]) -> dict[DagNode, object]:
+        """The results at all nodes; an inspection that can answer several operators at once overrides this."""
+        return dag.walk(lambda node, parents: self.visit(node, frames.get(node), parents))
+
     def __eq__(self, other) -> bool:
         return type(self) is type(other) and self.key == other.key
 

@@ -104,7 +104,7 @@ class PipelineInspector:
         for df in shared:
             df.persist()
         try:
-            visited = {i: session.dag.walk(lambda node, parents, i=i: i.visit(node, session.frames.get(node), parents)) for i in inspections}
+            visited = {i: i.visit_all(session.dag, session.frames) for i in inspections}
         finally:
             for df in shared:
                 df.unpersist()
