@@ -18,7 +18,7 @@ K, W = 5, 8
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 LOW = (1 << 32) - 1
 #: Documents in a stretch of the id order, about, and stretches at most (their first documents are broadcast by key: 24 bytes each).
-STRETCH_ROWS, STRETCHES, COARSE = 2000, 1 << 20, 1024
+STRETCH_ROWS, STRETCHES, COARSE = 500, 1 << 20, 1024
 
 
 def let(value: Column, body) -> Column:
