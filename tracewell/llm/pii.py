@@ -119,11 +119,11 @@ def by_document(all_spans: DataFrame) -> DataFrame:
     return all_spans.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind"))).alias("spans"))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans) for every row of ``docs``: the row itself as a struct, so that no column of it can clash with others, and
-    its spans, an empty array where there are none."""
+def with_spans(docs: DataFrame, *carried: str) -> DataFrame:
+    """(row, spans) for every row of ``docs``: its ``carried`` columns (all unless named) as a struct, so that none of them can
+    clash with others, and its spans, an empty array where there are none."""
     per = by_document(spans(docs.select("doc_id", "text"))).select(F.col("doc_id").alias("d"), "t", F.col("spans").alias("found"))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    keyed = docs.select(F.struct(*(carried or "*")).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
     joined = keyed.join(per, F.col("own").eqNullSafe(F.col("d")) & (F.col("k") == F.col("t")), "left")
     return joined.select("row", F.coalesce("found", F.array().cast("array<struct<rank:bigint,start:bigint,end:bigint,kind:string>>")).alias("spans"))
 
@@ -152,4 +152,4 @@ def op4_pii(spark, sf_dir: str) -> DataFrame:
     of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     count = [of_kind(kind).alias(f"n_{kind}") for kind in KINDS]
     base = listed(F.filter("spans", lambda s: s["kind"] != "id"))
-    return with_spans(docs).select("row.doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return with_spans(docs, "doc_id").select("row.doc_id", *count, F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
