@@ -28,7 +28,7 @@ from tracewell.llm.learning import SAMPLE_ROWS, folds, labelled, logistic, sigmo
 DIM = 1 << 16
 #: Toxic documents that a telling feature needs, and how many times as frequent as elsewhere it must be.
 MIN_DOCS, RATIO = 4, 30
-STEPS, RATE, L2, LANE = 400, 0.5, 1e-4, 64
+STEPS, RATE, L2, LANE, BATCH = 400, 0.5, 1e-4, 64, 256
 CACHED = 400_000
 SPAN, THRESHOLD = 0.5, 0.7
 CORE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -131,34 +131,36 @@ class ToxicField:
         return np.append(np.log(top / (1 - top)), np.log1p(np.where(marginal > 0.1, marginal, 0).sum()))
 
     def fit(self, texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicField:
-        words = [t.split() for t in texts]
-        telling = self._telling(words, y)
+        telling = self._telling(texts, y)
         windows, marks = [], []
         rng = np.random.default_rng(seed)
-        for ws, toxic in zip(words, y, strict=True):
+        for text, toxic in zip(texts, y, strict=True):
+            ws = text.split()
             m = np.array([bool(toxic) and not telling.isdisjoint(features(w)) for w in ws], dtype=bool)
             starts = {max(0, int(i) - int(rng.integers(LANE))) for i in np.flatnonzero(m)[:8]} | {int(rng.integers(max(1, len(ws) - LANE + 1)))}
             for s in starts:
                 if ws[s : s + LANE]:
-                    windows.append([slots(w) for w in ws[s : s + LANE]])
+                    each = [slots(w) for w in ws[s : s + LANE]]
+                    windows.append((np.array([i for e in each for i in e], dtype=np.int32), np.array([len(e) for e in each], dtype=np.int8)))
                     marks.append(m[s : s + LANE])
         self._learn(windows, marks, rng)
-        x = np.array([self.summary(m) for m in self.tag(texts)])
+        x = np.array([self.summary(m) for at in range(0, len(texts), BATCH) for m in self.tag(texts[at : at + BATCH])])
         self.top = logistic(x, y)
         return self
 
     @staticmethod
-    def _telling(words: list[list[str]], y: np.ndarray) -> set[str]:
+    def _telling(texts: list[str], y: np.ndarray) -> set[str]:
         """Features of at least ``MIN_DOCS`` toxic documents and hardly any others. Toxic documents that this leaves without one are
         few and may use words of their own: of features that two or more of them share and no other document has,
         those of most documents are taken first, until each such document has one."""
-        sets = [{f for w in set(ws) for f in features(w) if not f.startswith(">") and f != "-"} for ws in words]
-        toxic, other = Counter(), Counter()
-        for fs, mark in zip(sets, y, strict=True):
-            (toxic if mark else other).update(fs)
+        of = lambda text: {f for w in set(text.split()) for f in features(w) if not f.startswith(">") and f != "-"}
+        left = [of(t) for t, mark in zip(texts, y, strict=True) if mark]
+        toxic = Counter(f for fs in left for f in fs)
+        several = {f for f, n in toxic.items() if n > 1}
+        other = Counter(f for t, mark in zip(texts, y, strict=True) if not mark for f in several & of(t))
         share = RATIO * y.sum() / max(1.0, len(y) - y.sum())
-        telling = {f for f, n in toxic.items() if n >= MIN_DOCS and n >= share * (other[f] + 0.5)}
-        left = [fs for fs, mark in zip(sets, y, strict=True) if mark and telling.isdisjoint(fs)]
+        telling = {f for f in several if toxic[f] >= MIN_DOCS and toxic[f] >= share * (other[f] + 0.5)}
+        left = [fs & several for fs in left if telling.isdisjoint(fs)]
         while True:
             counts = Counter(f for fs in left for f in fs if f not in other)
             best = min(counts, key=lambda f: (-counts[f], len(f), f), default=None)
@@ -175,8 +177,8 @@ class ToxicField:
         for _ in range(STEPS):
             pick = np.concatenate([rng.choice(a, min(len(a), n)) for a, n in ((with_span, 12), (without, 36)) if len(a)])
             lengths = np.array([len(marks[i]) for i in pick])
-            each = [s for i in pick for s in windows[i]]
-            at, word = np.array([s for e in each for s in e]), np.repeat(np.arange(len(each)), [len(e) for e in each])
+            at, each = np.concatenate([windows[i][0] for i in pick]), np.concatenate([windows[i][1] for i in pick])
+            word = np.repeat(np.arange(len(each)), each)
             yy = np.concatenate([marks[i] for i in pick]).astype(float)
             e = np.bincount(word, weights=self.w[at]) + self.bias
             p, forward, backward = chain(e, lengths, self.t)
