@@ -32,10 +32,33 @@ STEPS, RATE, L2, LANE, BATCH = 400, 0.5, 1e-4, 64, 256
 CACHED = 400_000
 SPAN, THRESHOLD = 0.5, 0.7
 CORE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Runs of letters, and runs between white space that have none.
+TOKEN = re.compile(CORE.pattern + r"|(?<!\S)(?:(?![^\W\d_])\S)++(?!\S)")
+#: Letters of a run beyond which, as in a run of any length without upper and lower case, its n-grams are words too.
+LONG, GRAM, MARK = 16, 3, "\0"
+
+
+def places(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end): every run of letters and, within long runs and scripts without case, what begins at each letter of it."""
+    out = []
+    for m in TOKEN.finditer(text):
+        w, at, end = m[0], m.start(), m.end()
+        out.append((w, at, end))
+        if len(w) > LONG or (len(w) > 1 and not w.isascii() and w.lower() == w.upper()):
+            out += [(MARK + w[i : i + GRAM], at + i, min(end, at + i + GRAM)) for i in range(len(w) - 1)]
+    return out
+
+
+def tokens(text: str | None) -> list[str]:
+    return [w for w, _, _ in places(text or "")]
 
 
 def features(word: str) -> list[str]:
-    """A word's features: its letters, lower-cased, whole, and their first three to five and last three. A word without letters has one of its own."""
+    """A word's features: its letters, lower-cased, whole, and their first three to five and last three. A word without letters has one of its own;
+    an n-gram from within a run has its first two and three letters."""
+    if word[0] == MARK:
+        w = word[1:].lower()
+        return [f"{n}~{w[:n]}" for n in (2, 3) if len(w) >= n]
     m = CORE.search(word)
     if not m:
         return ["-"]
@@ -116,8 +139,8 @@ class ToxicField:
         return np.array(found, dtype=np.float64)
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Marginals of the words (runs without white space) of each text."""
-        words = [(t or "").split() for t in texts]
+        """Marginals of the words of each text."""
+        words = [tokens(t) for t in texts]
         lengths = np.array([len(w) for w in words])
         if not lengths.sum():
             return [np.zeros(0) for _ in texts]
@@ -135,7 +158,7 @@ class ToxicField:
         windows, marks = [], []
         rng = np.random.default_rng(seed)
         for text, toxic in zip(texts, y, strict=True):
-            ws = text.split()
+            ws = tokens(text)
             m = np.array([bool(toxic) and not telling.isdisjoint(features(w)) for w in ws], dtype=bool)
             starts = {max(0, int(i) - int(rng.integers(LANE))) for i in np.flatnonzero(m)[:8]} | {int(rng.integers(max(1, len(ws) - LANE + 1)))}
             for s in starts:
@@ -153,7 +176,7 @@ class ToxicField:
         """Features of at least ``MIN_DOCS`` toxic documents and hardly any others. Toxic documents that this leaves without one are
         few and may use words of their own: of features that two or more of them share and no other document has,
         those of most documents are taken first, until each such document has one."""
-        of = lambda text: {f for w in set(text.split()) for f in features(w) if not f.startswith(">") and f != "-"}
+        of = lambda text: {f for w in set(tokens(text)) for f in features(w) if not f.startswith(">") and f != "-"}
         left = [of(t) for t, mark in zip(texts, y, strict=True) if mark]
         toxic = Counter(f for fs in left for f in fs)
         several = {f for f, n in toxic.items() if n > 1}
@@ -206,12 +229,12 @@ class ToxicField:
 
     def spans(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, marginal) of runs of words that the field holds toxic; code points, end exclusive; the largest marginal of the run."""
-        at = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+        at = [(a, b) for _, a, b in places(text or "")]
         out: list[tuple[int, int, float]] = []
         last = -2
         for i, ((a, b), p) in enumerate(zip(at, self.tag([text])[0], strict=True)):
             if p >= SPAN:
-                out = [*out[:-1], (out[-1][0], b, max(out[-1][2], float(p)))] if last == i - 1 else [*out, (a, b, float(p))]
+                out = [*out[:-1], (out[-1][0], max(b, out[-1][1]), max(out[-1][2], float(p)))] if last == i - 1 else [*out, (a, b, float(p))]
                 last = i
         return out
 
