@@ -1,15 +1,20 @@
-"""What the operators of this folder share: reading tables, cutting lineage, and word rules."""
+"""What the operators of this folder share: reading tables, cutting lineage, lookups that bear hot keys, and word rules."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: A key that more than this part of all rows share is looked up in a broadcast table, which thus has at most its inverse in rows.
+HOT_SHARE = 1 / 1000
+#: Characters that a Python worker works on at a time, about; a longer text comes alone.
+TEXT_CHARS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and Spark runs on one machine, as in tests, a
+    temporary folder is made and set; on a cluster without it this is an error.
     """
-    jsc = spark.sparkContext._jsc.sc()
+    context = spark.sparkContext
+    jsc = context._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local") or context.master.startswith("local-cluster") and not named:
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get()
 
 
@@ -40,9 +49,36 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Hands texts to Python ``rows`` at a time, so that a worker's memory does not follow the partition's size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate files, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` (one row a key: ``key``, records, ...) on ``key``, without a task for a frequent key.
+
+    ``records`` is how many of the ``total`` rows have the key. Keys with more than ``HOT_SHARE`` of them are broadcast; the
+    others are shuffled. ``how`` is inner or left. The columns of ``found`` other than ``records`` are added.
+    """
+    most = max(1, int(total * HOT_SHARE))
+    hot, cool = found.where(F.col("records") > most).drop("records"), found.where(F.col("records") <= most).drop("records")
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cool, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
+def groups(rows: Iterable, chars: int = TEXT_CHARS, length=lambda text: len(text or "")) -> Iterator[list]:
+    """``rows`` in turn, in lists of about ``chars`` characters (what ``length`` says of each), so that long texts come alone."""
+    held, size = [], 0
+    for row in rows:
+        n = length(row)
+        if held and size + n > chars:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
 
 
 def n_words(text: Column) -> Column:

@@ -13,11 +13,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out_mod, small_batches
-from tracewell.llm.learning import SAMPLE_ROWS, folds, spread, thinned
+from tracewell.llm.common import held_out_mod
+from tracewell.llm.learning import SAMPLE_ROWS, folds, texts_of, thinned
 
 DIM, N = 1 << 15, 3
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.01, 3
@@ -62,15 +63,10 @@ class LanguageModel:
         x = np.log1p(c) * self.idf[at]
         return x / max(1e-12, np.sqrt(x @ x))
 
-    def fit(self, texts: list[str], y: np.ndarray, seed: int = 3) -> LanguageModel:
+    def fit(self, sparse: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seen: np.ndarray, n_docs: int, seed: int = 3) -> LanguageModel:
+        """Learns from features and counts of documents and the number of each one's language. ``seen``: how many of ``n_docs`` documents have a feature."""
         k = len(self.languages)
-        sparse = []
-        seen = np.zeros(DIM)
-        for t in texts:
-            at, c = counts(t)
-            seen[at] += 1
-            sparse.append((at, c))
-        self.idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+        self.idf = np.log((1 + n_docs) / (1 + seen)) + 1
         rows = [(at, self.vector(at, c)) for at, c in sparse]
         order = folds(len(rows), seed)
         held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -113,21 +109,54 @@ class LanguageModel:
         return self.languages[best], float(p[best])
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, at, n) of ``docs`` (doc_id, lang, text): the features of every whole text and their counts."""
+
+    def run(batches):
+        for b in batches:
+            each = [counts(t.as_py()) for t in b.column(2)]
+            made = [pa.array([x[i] for x in each], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "lang", "at", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<int>")
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(how many of ``texts`` (text) have each feature, how many texts there are): every task adds up its own, at most ``DIM`` numbers."""
+
+    def run(batches):
+        seen, n = np.zeros(DIM + 1, dtype=np.int64), 0
+        for b in batches:
+            for t in b.column(0):
+                seen[counts(t.as_py())[0]] += 1
+            n += b.num_rows
+        seen[DIM] = n
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    out = np.zeros(DIM + 1)
+    for r in texts.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out[:DIM], int(out[DIM])
+
+
 def fit(docs: DataFrame, n: int = SAMPLE_ROWS) -> LanguageModel:
-    """A model fitted on about ``n`` documents with text, language and id outside the held-out fifth."""
-    usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (held_out_mod(F.col("doc_id"), 5) != 0)
-    chosen = F.broadcast(thinned(docs.where(usable).select("doc_id"), n, 11).distinct())
-    rows = docs.where(usable & F.col("text").isNotNull()).select("doc_id", "text", "lang").join(chosen, "doc_id").select("doc_id", spread(F.col("text")).alias("text"), "lang").limit(2 * n).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    """A model fitted on about ``n`` documents with text, language and id outside the held-out fifth, with document frequencies of all such documents."""
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (held_out_mod(F.col("doc_id"), 5) != 0)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    marks = usable.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    rows = features(texts_of(usable, thinned(marks, "lang", n, 11))).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     languages = sorted({r["lang"] for r in rows})
-    at = {x: i for i, x in enumerate(languages)}
+    place = {x: i for i, x in enumerate(languages)}
     model = LanguageModel(languages)
-    return model.fit([r["text"] for r in rows], np.array([at[r["lang"]] for r in rows])) if rows else model
+    if not rows:
+        return model
+    sparse = [(np.array(r["at"], dtype=np.int64), np.array(r["n"], dtype=np.int64)) for r in rows]
+    return model.fit(sparse, np.array([place[r["lang"]] for r in rows]), *document_frequencies(usable))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (in the place of columns of those names) from every whole text."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -3,39 +3,54 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is fitted on, about; twice as many at most.
-SAMPLE_ROWS = 4000
-#: A sampled text longer than WINDOWS * WINDOW characters is fitted on so many windows, evenly spread from its start to its end.
-WINDOWS, WINDOW = 10, 2000
+#: Labelled documents that a model is fitted on at most, but for FLOOR of each class, if there are so many.
+SAMPLE_ROWS, FLOOR = 4000, 100
+#: Characters of all sampled texts at most; texts are never cut: from the first one that would go beyond on, none is taken.
+SAMPLE_CHARS = 32_000_000
+#: Classes that a model may have.
+MAX_CLASSES = 1000
 
 
-def spread(text: Column) -> Column:
-    """A text whole, or evenly spread windows of a long one."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.lit(WINDOWS - 1))
-    parts = F.transform(starts, lambda i: F.substring(text, 1 + F.floor(i * (n - WINDOW) / (WINDOWS - 1)).cast("int"), F.lit(WINDOW)))
-    return F.when(n <= WINDOWS * WINDOW, text).otherwise(F.concat_ws("\n", parts))
+def thinned(rows: DataFrame, of: str, n: int, seed: int) -> DataFrame:
+    """At most about ``n`` of ``rows`` (doc_id, class in the column ``of``, one row a document), each class by its share of all rows, but at least
+    ``FLOOR`` of it (all if it has fewer).
 
-
-def thinned(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """About ``n`` of ``rows`` (doc_id, ...), chosen by a hash of the id; never more than twice as many."""
-    total = rows.count()
-    share = 1_000_000 if total <= n else max(1, n * 1_000_000 // total)
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < share).limit(2 * n)
+    The least hashes of the id are taken. How many of a class there are says below which hash they lie, give or take, so
+    that only about twice as many rows are ranked; which rows are chosen depends on the ids alone.
+    """
+    classes = {r[0]: r[1] for r in rows.groupBy(of).count().limit(MAX_CLASSES + 1).collect()}
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    total = max(1, sum(classes.values()))
+    want = {c: min(k, max(-(-n * k // total), FLOOR)) for c, k in classes.items()}
+    if not want:
+        return rows.limit(0)
+    by = F.create_map(*[x for c, k in want.items() for x in (F.lit(c), F.struct(F.lit(k).alias("k"), F.lit(min(1.0, (2.0 * k + 50) / classes[c])).alias("share")))])
+    hashed = rows.select("doc_id", of, F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1).alias("at"), F.get(F.array(by), F.lit(0))[F.col(of)].alias("want"))
+    line = Window.partitionBy(of).orderBy("at", "doc_id")
+    near = hashed.where(F.col("at") <= F.col("want.share") * float(1 << 63)).withColumn("place", F.row_number().over(line))
+    return near.where(F.col("place") <= F.col("want.k")).select("doc_id", of)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text, ...) of the ``chosen`` documents, whole, one row an id (of several texts the one with the least hash), as many in the
+    order of a hash of the id as ``SAMPLE_CHARS`` allows. ``chosen`` is bounded, so it is broadcast and documents are read once."""
+    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", *[c for c in chosen.columns if c != "doc_id"]).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    line = Window.orderBy(F.xxhash64("doc_id", F.lit(0)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return one.withColumn("upto", F.sum(F.length("text")).over(line)).where(F.col("upto") <= SAMPLE_CHARS).drop("upto")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, n: int = SAMPLE_ROWS, seed: int = 7) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of about ``n`` labelled documents for which ``usable`` (a condition on doc_id) holds.
+    """Whole texts and 0/1 labels of about ``n`` labelled documents for which ``usable`` (a condition on doc_id) holds.
 
-    Rows without id, label or text are left out; of conflicting labels the larger counts. The sample of labels is bounded,
-    so it is broadcast; documents are read once and only those of the sample go to the driver.
+    Rows without id, label or text are left out; of conflicting labels the larger counts.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = F.broadcast(thinned(marks, n, seed))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("doc_id", spread(F.col("text")).alias("text"), "y").limit(2 * n).collect()
+    rows = texts_of(docs, thinned(marks, "y", n, seed)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
 

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import small_batches
+from tracewell.llm.common import groups
 
 CAPACITY, MAX_SEGMENTS, END_ID = 4096, 64, 2
 POOL, POOL_TOKENS = 512, 1 << 20
-CACHED, CACHED_CHARS, TOGETHER, TEXT_CHARS = 400_000, 48, 200, 400_000
+CACHED, CACHED_CHARS, TOGETHER = 400_000, 48, 200
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
@@ -112,19 +112,6 @@ class Encoder:
         return [np.frombuffer(b"".join(f), dtype="<u4") for f in found]
 
 
-def groups(rows: list[tuple], chars: int = TEXT_CHARS):
-    """``rows`` (doc_id, text, ...) in turn, in lists of about ``chars`` characters, so that long texts come alone."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[1] or "")
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 @cache
 def encoder(path: str) -> Encoder:
     """One for each worker process, so that what it keeps outlives a task."""
@@ -213,7 +200,6 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     unique over the table, as its upper bits are the partition's number.
     """
     path = path or tokenizer_path()
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        (F.lit(0) if prompt is None else F.coalesce(prompt, F.lit(0))).cast("long").alias("prompt"))
 
@@ -226,7 +212,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
-            for group in groups(list(zip(*(c.to_pylist() for c in b.columns), strict=True))):
+            for group in groups(zip(*(map(lambda x: x.as_py(), c) for c in b.columns), strict=True), length=lambda row: len(row[1] or "")):
                 for (doc_id, _, n), ids in zip(group, encode([row[1] or "" for row in group]), strict=True):
                     packer.add(doc_id, np.concatenate([ids, end]), n)
                 if len(packer.rows) >= 20_000:

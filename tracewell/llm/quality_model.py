@@ -9,10 +9,11 @@ through a small hidden layer to one probability. A filter's response is a sum of
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out_mod, small_batches
+from tracewell.llm.common import held_out_mod
 from tracewell.llm.learning import SAMPLE_ROWS, folds, labelled, sigmoid
 
 WIDTH, EMBED, FILTERS, HIDDEN = 8, 8, 24, 16
@@ -77,9 +78,42 @@ class ByteNetwork:
         return x, h, h @ self.p["out"] + self.p["out_shift"][0]
 
     def score(self, text: str | None) -> float:
-        data = as_bytes(text)
-        v = np.maximum(self.pooled(data) + self.p["shift"], 0)
-        return float(sigmoid(self.head(v.mean(axis=0)[None], v.max(axis=0)[None], np.array([len(data)]))[2])[0])
+        return self.scores([text])[0]
+
+    def scores(self, texts) -> list[float]:
+        """The probability of each text. Short texts are laid end to end and convolved together; a long one goes in blocks of its own."""
+        means, mosts, sizes = [], [], []
+        held: list[np.ndarray] = []
+
+        def together() -> None:
+            if not held:
+                return
+            starts = np.cumsum([0, *(len(d) for d in held[:-1])])
+            bounds = [chunk_bounds(len(d) - WIDTH + 1) for d in held]
+            edges = np.concatenate([b + s for b, s in zip(bounds, starts, strict=True)]).ravel()
+            r = self.responses(np.concatenate(held))
+            top = np.maximum(np.maximum.reduceat(r, edges[:-1] if edges[-1] == len(r) else edges, axis=0)[::2] + self.p["shift"], 0)
+            firsts = np.cumsum([0, *(len(b) for b in bounds[:-1])])
+            means.append(np.add.reduceat(top, firsts, axis=0) / np.array([len(b) for b in bounds])[:, None])
+            mosts.append(np.maximum.reduceat(top, firsts, axis=0))
+            held.clear()
+
+        room = BLOCK
+        for text in texts:
+            data = as_bytes(text)
+            sizes.append(len(data))
+            if len(data) > room:
+                together()
+                room = BLOCK
+            if len(data) > BLOCK:
+                v = np.maximum(self.pooled(data) + self.p["shift"], 0)
+                means.append(v.mean(axis=0)[None])
+                mosts.append(v.max(axis=0)[None])
+            else:
+                held.append(data)
+                room -= len(data)
+        together()
+        return sigmoid(self.head(np.concatenate(means), np.concatenate(mosts), np.array(sizes))[2]).tolist() if sizes else []
 
     def fit(self, texts: list[str], y: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> ByteNetwork:
         """Adam on the logistic loss. Through a maximum the gradient goes to where it was reached."""
@@ -138,21 +172,19 @@ def scores(texts, model: ByteNetwork | float):
     """The probability of good quality of every whole text, as a column; a null text is scored like an empty one."""
 
     @F.pandas_udf("double")
-    def scored(texts):
-        return texts.map(model.score) if isinstance(model, ByteNetwork) else texts.map(lambda _: model)
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.scores(texts) if isinstance(model, ByteNetwork) else [model] * len(texts), dtype="float64")
 
     return scored(F.coalesce(texts, F.lit("")))
 
 
 def score(docs: DataFrame, model: ByteNetwork | float) -> DataFrame:
     """``docs`` with ``score`` (in the place of a column of that name)."""
-    small_batches(docs.sparkSession)
     return docs.withColumn("score", scores(F.col("text"), model))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents scored at ``threshold`` or more, all columns kept as they are; all of them if there are no labels to learn from."""
-    small_batches(docs.sparkSession)
     model = fit(docs, labels)
     return docs.select(F.struct("*").alias("row"), scores(F.col("text"), model).alias("score")).where(F.col("score") >= threshold).select("row.*")
 

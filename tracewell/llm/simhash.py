@@ -4,12 +4,19 @@ A fingerprint of 64 bits is cut into five blocks. Two fingerprints that differ i
 two blocks, so they agree on at least three whole blocks: each fingerprint is filed under its ten combinations of
 three blocks (38 or 39 bits each), fingerprints filed together are joined, and the join is verified bit by bit.
 
-Two measures keep this linear for skewed data. Equal fingerprints are folded into one row (with the smallest
-document id) by a map-side combined aggregate before anything is joined. And a block whose key is shared by more
+Three measures keep this linear for skewed data. Equal fingerprints are folded into one row (with the smallest
+document id) by a map-side combined aggregate before anything is joined. A block whose key is shared by more
 than ``HOT_BLOCK`` different fingerprints is not joined with itself: its members are filed again under every value
 that differs from them in at most one of the bits the key leaves free. Members at distance two or less meet at such a
 value, and members that meet there are at distance two or less, so linking each to the smallest one there gives
-the same components without any pairs.
+the same components without any pairs. And wherever rows look up what belongs to a key that many of them have (a block, a
+fingerprint, the centre of a component), the frequent keys are broadcast (``common.looked_up``).
+
+``keep_first`` is the operator as a filter: one document of each group of texts whose sets of word shingles are as
+similar as asked for. 64 bits tell that only for texts that are nearly equal (two texts of similarity 0.8 differ in ten bits
+on average, for which no choice of blocks is both complete and selective), so pairs that blocks bring together are
+joined by pairs that share a band of min-hashes (``similar``), and each pair is verified: first by Hamming distance, then on the
+whole sets.
 """
 
 from __future__ import annotations
@@ -22,44 +29,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, small_batches
+from tracewell.llm import similar
+from tracewell.llm.common import cut, looked_up
 
 BITS, BLOCKS, MAX_DISTANCE, SHINGLE, SEED = 64, 5, 2, 3, 42
 #: Different fingerprints that may share a block key before the key is handled by one-bit neighbours instead.
 HOT_BLOCK = 32
+#: Shingle and greatest distance of the filter's fingerprints: texts of similarity 0.8 differ in 10 bits, and in over 28 once in 10^8 pairs.
+TEXT_SHINGLE, FAR = 5, 28
 #: Shingles whose bits are unpacked at a time.
 ROWS = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles (repeats included); 0 for a text without words.
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
+    """A hash of a text's words, and the hash of each of its word shingles, repeats included; 0 and none without words.
 
-    A-Z are lower-cased; fewer words than ``shingle`` form one shingle; a bit is set if it is in over half the hashes.
+    A-Z are lower-cased; fewer words than ``shingle`` form one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return 0, np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist(), strict=True)
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((digest(view[a:b], SEED) for a, b in spans), dtype="<u8", count=n)
+    return digest(joined, SEED), np.fromiter((digest(view[a:b], SEED) for a, b in spans), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits of which each is set if it is in over half of ``hashes``; 0 if there are none."""
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, ROWS):
+    for at in range(0, len(hashes), ROWS):
         part = hashes[at : at + ROWS]
         ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles (repeats included); 0 for a text without words."""
+    return majority(shingle_hashes(text, shingle)[1])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as a signed long. Null and empty texts get 0."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -82,8 +100,8 @@ def links(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     masks = block_masks()
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)])
     filed = fps.select("fp", F.inline(keys)).select("fp", "k", "v")
-    shared = filed.groupBy("k", "v").agg(F.count("*").alias("members")).where("members > 1")
-    met = cut(filed.join(shared, ["k", "v"]))
+    shared = filed.groupBy("k", "v").agg(F.count("*").alias("records")).where("records > 1").withColumn("members", F.col("records"))
+    met = cut(looked_up(filed, shared, ["k", "v"], fps.count() * len(masks)))
     cool, hot = met.where(F.col("members") <= hot_block), met.where(F.col("members") > hot_block)
     left, right = cool.select("k", "v", F.col("fp").alias("a")), cool.select("k", "v", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE
@@ -100,30 +118,26 @@ def links(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of (a, b) edges by alternating large and small stars; root is the least node.
 
-    Each round is two aggregates and two joins on slim rows; the edges are written to the shared folder after every
-    round. The loop ends when a round leaves the edges as they were.
+    Each round is two aggregates and two lookups on slim rows; the edges are written to the shared folder after every
+    round. The loop ends when a round leaves every edge as it was.
     """
 
-    def star(e: DataFrame, larger: bool) -> DataFrame:
+    def star(e: DataFrame, n: int, larger: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if larger:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        out = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("records"))
+        out = looked_up(both, least, ["u"], 2 * n)
         out = out.where("v > u").select("v", "m") if larger else out.select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
         return out.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
-    def mark(e: DataFrame):
-        return tuple(e.select(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
-
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    was = mark(e)
-    while was[0]:
-        e = cut(star(star(e, True), False))
-        now = mark(e)
-        if now == was:
-            break
-        was = now
+    n, same = e.count(), False
+    while n and not same:
+        now = cut(star(star(e, n, True), n, False))
+        m = now.count()
+        same = m == n and now.join(e, ["a", "b"], "left_anti").isEmpty()  # edges are distinct: as many and none new are the same
+        e, n = now, m
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -135,28 +149,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are returned as often as they occur. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("records")))
     linked = cut(components(links(reps)))
     nodes = linked.select(F.col("node").alias("fp"), "root").union(linked.select(F.col("root").alias("fp"), "root").distinct())
-    own = reps.join(nodes, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
+    own = reps.join(nodes, "fp", "left").select("fp", "rep", "records", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     # Only folded or linked fingerprints need a lookup: the others are their own component.
-    folded = own.where((F.col("n") > 1) | F.col("linked"))
-    least = folded.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = folded.join(least, "root").select("fp", "component_id", F.lit(True).alias("found"))
-    out = fps.join(named, "fp", "left")
+    folded = own.where((F.col("records") > 1) | F.col("linked"))
+    total = fps.count()
+    least = folded.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("records"))
+    named = cut(looked_up(folded, least, ["root"], total).select("fp", "records", "component_id", F.lit(True).alias("found")))
+    out = looked_up(fps, named, ["fp"], total, "left")
     return out.select("doc_id", "fp", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id, all columns kept; of repeated rows with
-    that id one stays.
+def described(docs: DataFrame, shingle: int, grams: bool = False) -> DataFrame:
+    """(doc_id, t, node, ...) of every row of ``docs`` (doc_id, t, text): ``node`` is the same for equal words.
+
+    Either with fp (of the set of shingles, so that repeats do not weigh), size and bands of the set, or with the set's 32-bit ``grams``.
+    """
+
+    def run(batches):
+        for b in batches:
+            node, fp, size, filed, kept = [], [], [], [], []
+            for text in b.column(2):
+                words, hashes = shingle_hashes(text.as_py(), shingle)
+                whole = np.unique(hashes)
+                found = np.unique((whole >> np.uint64(32)).astype("<u4"))
+                node.append(words)
+                if grams:
+                    kept.append(found.tobytes())
+                else:
+                    fp.append(majority(whole))
+                    size.append(len(found))
+                    filed.append(similar.bands(found))
+            own = pa.array(np.array(node, dtype=np.uint64).view(np.int64))
+            if grams:
+                yield pa.RecordBatch.from_arrays([own, pa.array(kept, pa.binary())], names=["node", "grams"])
+            else:
+                made = [own, pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(filed, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "t", "node", "fp", "size", "bands"])
+
+    kind = "node long, grams binary" if grams else "doc_id long, t long, node long, fp long, size int, bands array<long>"
+    return docs.select("doc_id", "t", "text").mapInArrow(run, kind)
+
+
+def similar_texts(texts: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b), a > b: pairs of nodes of ``rows`` (what ``described`` says of ``texts``) whose sets are as similar as ``similarity``.
+
+    Nodes meet by equal fingerprints, by blocks of fingerprints (``links``) and by bands of min-hashes, and each pair that meets
+    is verified. Sets are made again of the texts of those nodes only, one text a node.
+    """
+    # The texts of a node are equal in words, so any of them will do.
+    nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "t", "fp", "size", "bands"), "t").alias("x")).select("node", "x.*"))
+    reps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("records")))
+    folded = looked_up(nodes.select("node", "fp"), reps, ["fp"], nodes.count()).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    at = lambda old, new: reps.select(F.col("fp").alias(old), F.col("rep").alias(new))
+    near = links(reps.select("fp")).join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met = folded.union(near).union(similar.candidates(nodes, similarity)).where("a <> b")
+    pairs = cut(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends, "node").select(F.col("doc_id").alias("d"), F.col("t").alias("k"))
+    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k")), "left_semi")
+    kept = described(own, shingle, grams=True).dropDuplicates(["node"]).join(nodes.select("node", "fp"), "node")
+    kept = cut(kept)
+    a, b = kept.select(F.col("node").alias("a"), F.col("grams").alias("x"), F.col("fp").alias("p")), kept.select(F.col("node").alias("b"), F.col("grams").alias("y"), F.col("fp").alias("q"))
+    both = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= FAR).select("a", "b", "x", "y")
+
+    def run(batches):
+        for batch in batches:
+            alike = [similar.jaccard(np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def keep_first(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """One row of each group of near-duplicates (sets of word shingles of Jaccard similarity ``similarity`` or more), all columns kept.
 
-    Rows without id cannot be named as a group's first: of those with the same text one stays, and they are not
-    compared with the others.
+    It is the row with the least id, of such the one whose text has the least hash; rows without id come after the others. Rows that
+    repeat an id are told apart by their texts, so that only near-duplicates go. Texts without words are one group.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = near_duplicates(named.select("doc_id", "text")).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    rows = cut(described(texts, shingle))
+    linked = cut(components(similar_texts(texts, rows, similarity, shingle)))
+    roots = linked.union(linked.select("root", "root").distinct())
+    # One row a node before components are joined, however many copies it has.
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    firsts = rows.groupBy("node").agg(F.min(order).alias("first")).join(roots, "node", "left")
+    kept = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(
+        F.coalesce("first.doc_id", F.lit(0)).alias("own"), F.col("first.last").alias("none"), F.col("first.t").alias("k")).distinct()
+    key = ["own", "none", "k"]
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("own"), F.col("doc_id").isNull().alias("none"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"))
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import held_out_mod, small_batches
-from tracewell.llm.learning import SAMPLE_ROWS, folds, labelled, logistic, sigmoid
+from tracewell.llm.common import groups, held_out_mod
+from tracewell.llm.learning import SAMPLE_ROWS, labelled, logistic, sigmoid
 
 DIM = 1 << 16
 #: Toxic documents that a telling feature needs, and how many times as frequent as elsewhere it must be.
 MIN_DOCS, RATIO = 4, 30
-STEPS, RATE, L2, LANE, BATCH = 400, 0.5, 1e-4, 64, 256
+STEPS, RATE, L2, LANE = 400, 0.5, 1e-4, 64
 CACHED = 400_000
 SPAN, THRESHOLD = 0.5, 0.7
 CORE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -140,10 +140,12 @@ class ToxicField:
 
     def tag(self, texts: list[str | None]) -> list[np.ndarray]:
         """Marginals of the words of each text."""
-        words = [tokens(t) for t in texts]
+        return self.marginals([tokens(t) for t in texts])
+
+    def marginals(self, words: list[list[str]]) -> list[np.ndarray]:
         lengths = np.array([len(w) for w in words])
         if not lengths.sum():
-            return [np.zeros(0) for _ in texts]
+            return [np.zeros(0) for _ in words]
         m, _, _ = chain(self._evidence([w for ws in words for w in ws]), lengths, self.t)
         return np.split(m, np.cumsum(lengths)[:-1])
 
@@ -154,33 +156,38 @@ class ToxicField:
         return np.append(np.log(top / (1 - top)), np.log1p(np.where(marginal > 0.1, marginal, 0).sum()))
 
     def fit(self, texts: list[str], y: np.ndarray, seed: int = 5) -> ToxicField:
-        telling = self._telling(texts, y)
+        """A field for texts with labels 0 and 1. Of texts without words nothing can be learned but how often they are toxic."""
+        words, known = [], {}
+        for text in texts:
+            words.append([known.setdefault(w, w) for w in tokens(text)])
+        of = {w: features(w) for w in known}
+        telling = self._telling(words, of, y)
+        tells = {w: not telling.isdisjoint(fs) for w, fs in of.items()}
+        at = {w: np.array(slots(w), dtype=np.int32) for w in known}
         windows, marks = [], []
         rng = np.random.default_rng(seed)
-        for text, toxic in zip(texts, y, strict=True):
-            ws = tokens(text)
-            m = np.array([bool(toxic) and not telling.isdisjoint(features(w)) for w in ws], dtype=bool)
-            starts = {max(0, int(i) - int(rng.integers(LANE))) for i in np.flatnonzero(m)[:8]} | {int(rng.integers(max(1, len(ws) - LANE + 1)))}
-            for s in starts:
-                if ws[s : s + LANE]:
-                    each = [slots(w) for w in ws[s : s + LANE]]
-                    windows.append((np.array([i for e in each for i in e], dtype=np.int32), np.array([len(e) for e in each], dtype=np.int8)))
-                    marks.append(m[s : s + LANE])
-        self._learn(windows, marks, rng)
-        x = np.array([self.summary(m) for at in range(0, len(texts), BATCH) for m in self.tag(texts[at : at + BATCH])])
+        for ws, toxic in zip(words, y, strict=True):
+            # Stretches of the whole text; where they begin is left to chance, so that telling words stand anywhere in them.
+            for s in range(-int(rng.integers(LANE)), len(ws), LANE):
+                each = [at[w] for w in ws[max(0, s) : s + LANE]]
+                windows.append((np.concatenate(each), np.array([len(i) for i in each], dtype=np.int8)))
+                marks.append(np.array([bool(toxic) and tells[w] for w in ws[max(0, s) : s + LANE]], dtype=bool))
+        if windows:
+            self._learn(windows, marks, rng)
+        x = np.array([self.summary(m) for some in groups(words, 1 << 16, len) for m in self.marginals(some)])
         self.top = logistic(x, y)
         return self
 
     @staticmethod
-    def _telling(texts: list[str], y: np.ndarray) -> set[str]:
-        """Features of at least ``MIN_DOCS`` toxic documents and hardly any others. Toxic documents that this leaves without one are
-        few and may use words of their own: of features that two or more of them share and no other document has,
+    def _telling(words: list[list[str]], features_of: dict[str, list[str]], y: np.ndarray) -> set[str]:
+        """Of the features of documents' words: those of at least ``MIN_DOCS`` toxic documents and hardly any others. Toxic documents that this
+        leaves without one are few and may use words of their own: of features that two or more of them share and no other document has,
         those of most documents are taken first, until each such document has one."""
-        of = lambda text: {f for w in set(tokens(text)) for f in features(w) if not f.startswith(">") and f != "-"}
-        left = [of(t) for t, mark in zip(texts, y, strict=True) if mark]
+        of = lambda ws: {f for w in set(ws) for f in features_of[w] if f[0] != ">" and f != "-"}
+        left = [of(ws) for ws, mark in zip(words, y, strict=True) if mark]
         toxic = Counter(f for fs in left for f in fs)
         several = {f for f, n in toxic.items() if n > 1}
-        other = Counter(f for t, mark in zip(texts, y, strict=True) if not mark for f in several & of(t))
+        other = Counter(f for ws, mark in zip(words, y, strict=True) if not mark for f in several & of(ws))
         share = RATIO * y.sum() / max(1.0, len(y) - y.sum())
         telling = {f for f in several if toxic[f] >= MIN_DOCS and toxic[f] >= share * (other[f] + 0.5)}
         left = [fs & several for fs in left if telling.isdisjoint(fs)]
@@ -225,7 +232,8 @@ class ToxicField:
             self.bias -= RATE * d.sum() / len(pick) / np.sqrt(gb)
 
     def score(self, texts: list[str | None]) -> list[float]:
-        return [float(sigmoid(self.summary(m) @ self.top[:3] + self.top[3])) for m in self.tag(texts)]
+        """The probability that each text is toxic; a bounded number of characters is worked on at a time."""
+        return [float(sigmoid(self.summary(m) @ self.top[:3] + self.top[3])) for some in groups(texts) for m in self.tag(some)]
 
     def spans(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, marginal) of runs of words that the field holds toxic; code points, end exclusive; the largest marginal of the run."""
@@ -247,8 +255,6 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> ToxicField
 
 def score(docs: DataFrame, model: ToxicField | float) -> DataFrame:
     """``docs`` with ``score``, the probability that the whole text is toxic; a null text is scored like an empty one."""
-    small_batches(docs.sparkSession)
-
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts.tolist()) if isinstance(model, ToxicField) else [model] * len(texts), dtype="float64")
@@ -258,8 +264,6 @@ def score(docs: DataFrame, model: ToxicField | float) -> DataFrame:
 
 def with_spans(docs: DataFrame, model: ToxicField) -> DataFrame:
     """``docs`` with ``toxic_spans``: array of (start, end, marginal)."""
-    small_batches(docs.sparkSession)
-
     @F.udf("array<struct<start:int,end:int,marginal:double>>", useArrow=True)
     def spans(text):
         return model.spans(text)

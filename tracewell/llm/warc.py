@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, fresh_folder, small_batches
+from tracewell.llm.common import cut, fresh_folder, removed
 
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +121,6 @@ def records(pieces):
 def normalise(spark, folder: str, out: str, level: int = 6) -> DataFrame:
     """(archive, sidecar, records) of the rewritten archives. The work is done when this returns."""
     paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path")
-    small_batches(spark)
 
     def run(batches):
         for b in batches:
@@ -148,7 +147,6 @@ def normalise(spark, folder: str, out: str, level: int = 6) -> DataFrame:
 
 def read(archives: DataFrame) -> DataFrame:
     """``ROW`` of every record of normalised archives, each reached by its offset. Payloads of responses are digested anew."""
-    small_batches(archives.sparkSession)
 
     def number(uri: str | None):
         found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
