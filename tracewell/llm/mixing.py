@@ -3,28 +3,30 @@
 Every source is a queue of its documents in a shuffled but fixed order (a hash of id and text), up to ``EPOCHS`` times
 over. A document's virtual finish time is the number of its source's words up to and including it, divided by the
 source's target. Served in that order, the queues advance in proportion to their targets; the stream is cut where the total
-budget (all words) is used up. Documents stay whole, and so that the cut leaves each source as near its target as whole
-documents allow, it goes by the virtual time at which half of a document has been served: a long document that is
-nearly through is finished, one that has just begun is left out. The order within a source is the same either way.
+budget (all words) is used up, and what is served of each queue is a prefix of it. Documents stay whole, so each source
+has one document across the line, the first that the cut leaves out. It is treated by itself: it is served if that brings the source
+nearer to its target, so that a source with few long documents does not stay short by most of one.
 
 Running sums never go through one task: each source is dealt into buckets by the shuffling hash, sums of whole buckets
 are added up over a table with one row per bucket, and only within a bucket are rows added up one by one. The cut is
-found the same way over ranges of virtual time, of which only the one that holds the cut is sorted. What is cut is
-a prefix of each source's queue, so one number per source describes the whole mix.
+found the same way over ranges of finish time; the range that holds it is divided again until it has at most
+``EDGE_ROWS`` rows, and only those are sorted. One number per source describes the whole mix. (Rows that repeat id and text are
+interchangeable; they have one hash and so one bucket.)
 """
 
 from __future__ import annotations
 
 from math import ceil, log2
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import cut, n_words
 
 EPOCHS, WEIGHTS, SEED = 3, (1, 2, 3), 20
-#: Rows in a bucket of a source, about, and buckets of a source at most; ranges of virtual time in one unit of it.
-BUCKET_ROWS, BUCKETS, RANGES = 500, 1 << 20, 4096
+#: Rows in a bucket of a source, about, and buckets of a source at most; ranges that finish times are counted in, and rows that are sorted at once.
+BUCKET_ROWS, BUCKETS, RANGES, EDGE_ROWS = 500, 1 << 20, 4096, 10_000
 #: Order of a source's queue. Rows equal in all of these are repeated rows and interchangeable.
 QUEUE = ("h", "t", "doc_id", "size")
 
@@ -58,6 +60,33 @@ def _ranked(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
     return keyed.join(buckets, ["key", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(within))
 
 
+def _line(entries: DataFrame, budget: int) -> float:
+    """The largest finish time up to which ``entries`` (size, finish) stay within the budget; entries that finish at one time stay together."""
+    sized = entries.where("size > 0").select("size", "finish")
+    low, high, before, rows = 0.0, sized.agg(F.max("finish")).first()[0] or 0.0, 0, None
+    inside = (F.col("finish") > F.lit(low)) & (F.col("finish") <= F.lit(high))
+    while rows is None or rows > EDGE_ROWS:
+        # Ranges begin after their lower end; the last one ends at the upper end exactly.
+        width = (high - low) / RANGES
+        if low + width <= low:
+            break
+        at = F.least(F.greatest(F.ceil((F.col("finish") - F.lit(low)) / F.lit(width)).cast("long") - 1, F.lit(0)), F.lit(RANGES - 1))
+        counted = sorted(tuple(r) for r in sized.where(inside).groupBy(at.alias("range")).agg(F.sum("size"), F.count("*"), F.min("finish"), F.max("finish")).collect())
+        for _, words, n, least, most in counted:
+            if before + words > budget:
+                break
+            before += words
+        else:  # all that there is lies within the budget
+            return high
+        if rows == n and (least, most) == (low, high):
+            break
+        low, high, rows = float(np.nextafter(least, -np.inf)), most, n
+        inside = (F.col("finish") > F.lit(low)) & (F.col("finish") <= F.lit(high))
+    line = Window.orderBy("finish").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = sized.where(inside).groupBy("finish").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(line) + before)
+    return edge.where(F.col("upto") <= budget).agg(F.max("finish")).first()[0] or low
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The keyed slim rows, the buckets with each source's size, target and number of words served, and how many buckets a source has."""
     rows = cut(_keyed(docs.select("doc_id", "source", "text"), 1).select("doc_id", "key", "h", "t", "size"))
@@ -70,19 +99,12 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     budget = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     at = F.col("epoch") * F.col("source_size") + F.col("upto")
-    entries = cut(_ranked(slim, buckets).where("target > 0").select("key", *QUEUE, "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
-                  .select("key", *QUEUE, "epoch", at.alias("position"), ((at - F.col("size") / 2) / F.col("target")).alias("halfway"))
-                  .withColumn("range", F.least(F.floor(F.col("halfway") * RANGES), F.lit(2 * RANGES))))
-    so_far = Window.orderBy("range")
-    ranges = entries.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(so_far))
-    last = ranges.where(F.col("upto") > budget).orderBy("range").select("range", (F.col("upto") - F.col("words")).alias("before")).first()
-    if last is None:  # all that the queues hold is within the budget
-        served = entries
-    else:
-        line = Window.orderBy("halfway", "key", "epoch", *QUEUE).rowsBetween(Window.unboundedPreceding, 0)
-        edge = entries.where(F.col("range") == last["range"]).withColumn("total", F.sum("size").over(line) + last["before"])
-        served = entries.where(F.col("range") < last["range"]).unionByName(edge.where(F.col("total") <= budget).drop("total"))
-    ends = served.groupBy("key").agg(F.max("position").alias("served"))
+    entries = cut(_ranked(slim, buckets).where("target > 0").select("key", "size", "source_size", "target", "upto", F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1))).alias("epoch"))
+                  .select("key", "size", "target", at.alias("position"), (at / F.col("target")).alias("finish")))
+    served = F.col("finish") <= F.lit(_line(entries, budget))
+    ends = entries.groupBy("key").agg(F.first("target").alias("goal"), F.coalesce(F.max(F.when(served, F.col("position"))), F.lit(0)).alias("served"), F.min(F.when(~served, F.col("position"))).alias("next"))
+    nearer = F.abs(F.col("next") - F.col("goal")) < F.abs(F.col("served") - F.col("goal"))
+    ends = ends.select("key", F.when(nearer, F.col("next")).otherwise(F.col("served")).alias("served"))
     return slim, cut(buckets.join(ends, "key", "left").select("key", "bucket", "before", "source_size", "target", F.coalesce("served", F.lit(0)).alias("served"))), n
 
 
@@ -109,7 +131,7 @@ def mix(docs: DataFrame) -> DataFrame:
     Documents without words cost nothing and are served where they stand in their queue.
     """
     _, buckets, n = plan(docs)
-    row = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = docs.select("doc_id", "source", "text", F.struct("*").alias("row"))
     ranked = _ranked(_keyed(row, n).select("row", "key", "bucket", *QUEUE), buckets).withColumn("copies", _copies()).where("copies > 0")
     epochs = ranked.select("row", "target", "source_size", "upto", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"))
     finish = (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target")

@@ -3,7 +3,7 @@
 Every example is a vector of three sizes: tokens, segments (one for each piece placed), and loss-bearing tokens (those
 after its prompt). A sequence has a limit on each. Sequences are filled one at a time: of the examples waiting, the one
 with the largest dot product between its vector and what is left of the sequence (both as shares of the limits) is
-placed whole; when none fits whole, a piece is cut off the longest one that takes up exactly what is left. A sequence
+placed whole; when none fits whole, a piece is cut off the one that takes up most of what is left. A sequence
 that has to be closed short of the token limit is cut back to a power of two and the rest of its tokens go on waiting,
 so that nothing is padded at all.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.common import groups
 
-CAPACITY, MAX_SEGMENTS, END_ID = 4096, 64, 2
+CAPACITY, MAX_SEGMENTS, MAX_LOSS, END_ID = 4096, 64, 4064, 2
 POOL, POOL_TOKENS = 512, 1 << 20
 CACHED, CACHED_CHARS, TOGETHER = 400_000, 48, 200
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -159,19 +159,23 @@ class Packer:
 
     def _fill(self) -> None:
         left, placed = self.limits.copy(), []
-        while self.waiting and left.min() > 0:
+        while self.waiting and left[:2].min() > 0:
             size = self.size[: len(self.waiting)]
             fits = (size <= left).all(axis=1)
             if fits.any():
                 score = (size / self.limits) @ (left / self.limits)
                 doc_id, ids, a, b, prompt = self._take(int(np.where(fits, score, -1).argmax()))
             else:
-                doc_id, ids, a, b, prompt = self._take(int(size[:, 0].argmax()))
-                # The longest prefix with no more tokens and no more loss-bearing tokens than are left.
-                end = min(b, a + int(left[0]), max(a, min(prompt, b)) + int(left[2]))
-                if end < b:
-                    self._wait(doc_id, ids, end, b, prompt)
-                b = end
+                # The longest prefix of each with no more tokens and no more loss-bearing tokens than are left; of equal ones, of the longest.
+                most = np.minimum(np.minimum(size[:, 0], left[0]), size[:, 0] - size[:, 2] + left[2])
+                k = int(np.lexsort((size[:, 0], most))[-1])
+                if most[k] <= 0:
+                    break
+                take = int(most[k])
+                doc_id, ids, a, b, prompt = self._take(k)
+                if a + take < b:
+                    self._wait(doc_id, ids, a + take, b, prompt)
+                b = a + take
             placed.append((doc_id, ids, a, b, prompt))
             left -= np.array(self._vector(a, b, prompt))
         total = int(self.limits[0] - left[0])
@@ -192,19 +196,20 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", prompt: Column | None = None,
-         capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """Pieces of all examples with their place: ``SCHEMA``, one row per piece.
 
-    ``prompt`` is an example's number of leading tokens without loss (0 unless given). A null or empty text has only the
-    end id. Repeated rows and null ids are packed like any other row; an empty table gives no rows. ``sequence_id`` is
-    unique over the table, as its upper bits are the partition's number.
+    ``prompt`` is the number of an example's leading characters whose tokens bear no loss (none unless given); what follows them is to be
+    white space, so that no token lies across. ``max_loss`` is ``capacity`` unless given. A null or empty text has only the end id. Repeated rows and null ids are
+    packed like any other row; an empty table gives no rows. ``sequence_id`` is unique over the table, as its upper bits are the
+    partition's number.
     """
     path = path or tokenizer_path()
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        (F.lit(0) if prompt is None else F.coalesce(prompt, F.lit(0))).cast("long").alias("prompt"))
 
     def run(batches):
-        encode, packer = encoder(path).ids, Packer(TaskContext.get().partitionId() << 40, capacity, max_segments, max_loss)
+        encode, packer = encoder(path).ids, Packer(TaskContext.get().partitionId() << 40, capacity, max_segments, max_loss or capacity)
 
         def out():
             rows, packer.rows = packer.rows, []
@@ -213,8 +218,9 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
             for group in groups(zip(*(map(lambda x: x.as_py(), c) for c in b.columns), strict=True), length=lambda row: len(row[1] or "")):
-                for (doc_id, _, n), ids in zip(group, encode([row[1] or "" for row in group]), strict=True):
-                    packer.add(doc_id, np.concatenate([ids, end]), n)
+                heads = encode([(text or "")[:n] for _, text, n in group])
+                for (doc_id, _, _), head, ids in zip(group, heads, encode([row[1] or "" for row in group]), strict=True):
+                    packer.add(doc_id, np.concatenate([ids, end]), len(head))
                 if len(packer.rows) >= 20_000:
                     yield out()
         packer.finish()
@@ -224,7 +230,17 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     return slim.mapInArrow(run, SCHEMA)
 
 
+def first_line(text: Column) -> Column:
+    """Characters of the first of several lines, 0 if there is only one."""
+    return F.greatest(F.instr(text, "\n") - 1, F.lit(0))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Documents in sequences of at most 4096 tokens, 64 pieces and 4064 loss-bearing tokens; a document's first line counts as its prompt."""
+    return pack(docs, prompt=first_line(F.col("text")), max_loss=MAX_LOSS)
+
+
 def op9_packing(spark, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 tokens."""
+    """All documents, packed as ``pack_documents`` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pack_documents(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -3,12 +3,13 @@
 Finding positions with built-in functions: a text split at a pattern gives the gaps between its matches, so gaps and matches
 become rows (one per match, only of texts that have any) and a running sum over them gives each match's start.
 
-Bootstrapping: every mention, i.e. a word and what follows it that has a digit or an at sign, links a lexical pattern
-(the word, the separator and the shape of what follows) to an instance (what follows). Instances found by the base patterns
-are seeds. A pattern is scored by the share of its different instances that are trusted, an instance by the best
-pattern it is seen with; a few rounds of joins and aggregates over the graph of patterns and instances carry trust from
-seeds to patterns to instances that the base patterns do not match and on to further patterns. Mentions of instances
-whose trust is high enough, in a pattern that is itself trusted, become spans of kind ``id``.
+Bootstrapping: every mention, i.e. a word (the cue), what stands between, and what follows it that has a digit or an at sign (the
+instance), makes two lexical patterns: cue and separator with the shape of the instance, and cue and separator alone, so that an
+identifier of another shape is found in a context that is sure enough. Seeds are the instances that are base spans and long
+hexadecimal numbers (keys and tokens, ``SECRET``), which become spans only through their context. A pattern is scored by the trust
+of its different instances, an instance by the best trusted pattern it is seen with; joins and aggregates over the graph
+of patterns and instances carry trust from seeds to patterns, to instances that no base pattern matches, and on to further
+patterns, until no more edges become trusted. Mentions that are trusted become spans of kind ``id``.
 
 All tables after the first are proportional to the mentions, not the texts, and all steps are DataFrame operations.
 """
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut
+from tracewell.llm.common import cut, looked_up
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -30,21 +31,28 @@ PATTERNS = {
     "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A word, up to three characters between, and up to 64 that have a digit or an at sign among them.
-MENTION = r"(?<![A-Za-z])[A-Za-z]{1,24}+[\x20:=#\x22]{1,3}+(?=[A-Za-z._%+-]{0,63}[0-9@])[A-Za-z0-9@._%+-]{6,64}+"
-SPLIT_MENTION = r"^([A-Za-z]+)([\x20:=#\x22]+)(.*)$"
+#: What may stand between a cue and an instance, and a mention: a word of any script, that, and six or more characters of which
+#: one is a digit or an at sign. All repetitions are possessive, so a text is read once.
+BETWEEN = r"[\x20:=#|(\[\x22']{1,6}+"
+MENTION = r"(?<!\p{L})\p{L}++" + BETWEEN + r"(?=[A-Za-z._%+/-]*+[0-9@])[A-Za-z0-9@._%+/-]{6,}+"
+SPLIT_MENTION = r"^(\p{L}++)(" + BETWEEN + r")(.*)$"
+#: The same before a base span, read backwards from it.
+BACKWARDS = "^(" + BETWEEN + r")(\p{L}++)"
+#: Seeds beside the base spans: 32 hexadecimal digits or more, with letters and digits among them.
+SECRET = r"^(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])[0-9a-f]{32,}+$"
 
-#: Seeds that a pattern must have, trust that it must reach, and rounds of scoring.
-MIN_SEEDS, TRUST, ROUNDS = 5, 0.9, 3
+#: Seeds that a pattern must have and trust that it must reach on average, with the shape and without.
+MIN_SEEDS, TRUST, ANY_SHAPE_SEEDS, ANY_SHAPE_TRUST = 5, 0.8, 20, 0.9
 
 
 def _finds(texts: DataFrame) -> DataFrame:
-    """(doc_id, t, kind, i, gap, match) of every match in ``texts`` (doc_id, t, text)."""
+    """(doc_id, t, kind, i, gap, match, before) of every match in ``texts`` (doc_id, t, text); ``before`` is what stands before a base span, backwards."""
     kinds = PATTERNS | {"mention": MENTION}
     each = [F.struct(F.lit(kind).alias("kind"), F.split("text", p, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(p), 0).alias("matches")) for kind, p in kinds.items()]
     rows = texts.where(F.col("text").rlike("[0-9@]")).select("doc_id", "t", F.inline(F.array(*each))).where(F.size("matches") > 0)
+    before = F.when(F.col("kind") != "mention", F.regexp_extract(F.reverse("col.gap"), BACKWARDS, 0))
     return rows.select("doc_id", "t", "kind", F.posexplode(F.arrays_zip(F.slice("gaps", 1, F.size("matches")).alias("gap"), F.col("matches").alias("match")))).select(
-        "doc_id", "t", "kind", F.col("pos").alias("i"), F.length("col.gap").alias("gap"), F.col("col.match").alias("match"))
+        "doc_id", "t", "kind", F.col("pos").alias("i"), F.length("col.gap").alias("gap"), F.col("col.match").alias("match"), before.alias("before"))
 
 
 def _luhn(digits: Column) -> Column:
@@ -64,42 +72,68 @@ def _valid() -> Column:
 
 
 def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(base spans, mentions) of ``docs`` (doc_id, text): doc_id, t (a hash of the text), kind, start, end, match. Rows that
+    """(base spans, mentions) of ``docs`` (doc_id, text): doc_id, t (a hash of the text), kind, start, end, match, before. Rows that
     repeat id and text are looked at once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     line = Window.partitionBy("doc_id", "t", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = _finds(texts).dropDuplicates(["doc_id", "t", "kind", "i"]).withColumn("end", F.sum(F.col("gap") + F.length("match")).over(line))
-    rows = cut(rows.select("doc_id", "t", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match").where(_valid()))
+    rows = cut(rows.select("doc_id", "t", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "before").where(_valid()))
     return rows.where("kind <> 'mention'"), rows.where("kind = 'mention'")
 
 
-def mentions(base: DataFrame, raw: DataFrame) -> DataFrame:
-    """(doc_id, t, start, end, pattern, instance, seed): ``start`` is that of the instance; ``seed`` is whether a base span overlaps it."""
+def _patterns(cue: Column, between: Column, instance: Column) -> Column:
+    """The two patterns of a mention (pattern, with shape or not). Of a shape, runs of letters count whatever their length, and runs of digits by five sizes."""
+    shape = F.regexp_replace(instance, r"(?<![a-z0-9])(?:[a-z]++[0-9]|[0-9]++[a-z])[a-z0-9]*+", "Q")
+    shape = F.regexp_replace(shape, "[a-z]++", "A")
+    for name, size in (("V", "{20,}"), ("L", "{13,19}"), ("M", "{8,12}"), ("S", "{4,7}"), ("T", "{1,3}")):
+        shape = F.regexp_replace(shape, f"[0-9]{size}+", name)
+    context = F.concat(F.lower(cue), F.regexp_replace(between, r"\x20+", " "))
+    return F.array(F.struct(F.concat(context, shape).alias("pattern"), F.lit(True).alias("shaped")), F.struct(context.alias("pattern"), F.lit(False).alias("shaped")))
+
+
+def mentions(base: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions that no base span overlaps: doc_id, t, start, end, instance, patterns; the graph of all mentions: pattern, shaped, instance, seed, records).
+
+    ``start`` and ``end`` are those of the instance.
+    """
     word, between, value = (F.regexp_extract("match", SPLIT_MENTION, i) for i in (1, 2, 3))
-    value = F.regexp_replace(value, r"[._%+-]+$", "")
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
+    value = F.regexp_replace(value, r"(?<![._%+/-])[._%+/-]++$", "")
     rows = raw.withColumn("from", F.col("start") + F.length(word) + F.length(between)).select(
-        "doc_id", "t", F.col("from").alias("start"), (F.col("from") + F.length(value)).alias("end"), F.concat(F.lower(word), between, shape).alias("pattern"), F.lower(value).alias("instance"))
-    rows = rows.where(F.length("instance") >= 6)
+        "doc_id", "t", F.col("from").alias("start"), (F.col("from") + F.length(value)).alias("end"), F.lower(value).alias("instance"), _patterns(word, between, F.lower(value)).alias("patterns"))
+    rows = rows.where((F.length("instance") >= 6) & F.col("instance").rlike("[0-9@]"))
     spans = base.select("doc_id", "t", F.col("start").alias("s"), F.col("end").alias("e"))
     # Within a document only mentions and spans that touch the same thousand characters are compared.
     place = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 1000), F.floor((F.col(b) - 1) / 1000)))
     left, right = rows.withColumn("p", place("start", "end")), spans.select(F.col("doc_id").alias("d"), F.col("t").alias("dt"), "s", "e", place("s", "e").alias("p2"))
-    hit = left.join(right, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("p") == F.col("p2")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left")
-    return hit.groupBy("doc_id", "t", "start", "end", "pattern", "instance").agg(F.max(F.col("s").isNotNull()).alias("seed"))
+    touched = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt")) & (F.col("p") == F.col("p2")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))
+    hit = left.join(right, touched, "left").groupBy("doc_id", "t", "start", "end", "instance", "patterns").agg(F.max(F.col("s").isNotNull()).alias("seed"))
+    own = cut(hit.where(~F.col("seed")).drop("seed"))
+    back = F.col("before")
+    cue = base.where(back != "").select(F.lower("match").alias("instance"), F.reverse(F.regexp_extract(back, BACKWARDS, 2)).alias("w"), F.reverse(F.regexp_extract(back, BACKWARDS, 1)).alias("b"))
+    seeds = cue.select("instance", F.lit(True).alias("seed"), F.inline(_patterns(F.col("w"), F.col("b"), F.col("instance"))))
+    every = seeds.unionByName(own.select("instance", F.col("instance").rlike(SECRET).alias("seed"), F.inline("patterns")))
+    return own, cut(every.groupBy("pattern", "shaped", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("records")))
+
 
+def trusted(graph: DataFrame) -> DataFrame:
+    """(pattern, instance, records) edges of ``graph`` (pattern, shaped, instance, seed, records) whose pattern is trusted, and so the instance in it.
 
-def trusted(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, instance) edges whose pattern and instance are trusted, from (pattern, instance, seed)."""
-    edges = cut(graph.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
-    trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        known = edges.join(trust, "instance")
-        scored = known.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("trusted"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        good = scored.where((F.col("trusted") >= MIN_SEEDS) & (F.col("trusted") / F.col("n") >= TRUST)).select("pattern", (F.col("trusted") / F.col("n")).alias("conf"))
-        trust = cut(edges.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("conf"), F.lit(0.0))).alias("score")))
-        patterns = good
-    return edges.join(patterns, "pattern").join(trust.where(F.col("score") >= TRUST), "instance").select("pattern", "instance")
+    Trust never falls from one round to the next, so the rounds end when as many edges are trusted as before.
+    """
+    edges, n, was = graph, graph.count(), -1
+    trust = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust"), F.count("*").alias("records"))
+    enough = F.when(F.col("shaped"), (F.col("seeds") >= MIN_SEEDS) & (F.col("conf") >= TRUST)).otherwise((F.col("seeds") >= ANY_SHAPE_SEEDS) & (F.col("conf") >= ANY_SHAPE_TRUST))
+    while True:
+        known = looked_up(edges.drop("records"), trust, ["instance"], n)
+        scored = known.groupBy("pattern", "shaped").agg(F.count("*").alias("records"), F.sum(F.col("seed").cast("long")).alias("seeds"), F.avg("trust").alias("conf"))
+        good = cut(scored.where(enough).select("pattern", "conf", "records"))
+        inside = cut(looked_up(edges.withColumnRenamed("records", "mentions"), good, ["pattern"], n))
+        now = inside.count()
+        if now == was or not now:
+            return inside.select("pattern", "instance", F.col("mentions").alias("records"))
+        was = now
+        best = inside.groupBy("instance").agg(F.max("conf").alias("best"))
+        trust = cut(trust.join(best, "instance", "left").select("instance", F.greatest("trust", F.coalesce("best", F.lit(0.0))).alias("trust"), "records"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -108,8 +142,10 @@ def spans(docs: DataFrame) -> DataFrame:
     Offsets are in code points, ends exclusive. Null and empty texts have none.
     """
     base, raw = found(docs)
-    seen = cut(mentions(base, raw))
-    new = seen.where(~F.col("seed")).join(trusted(seen.select("pattern", "instance", "seed")), ["pattern", "instance"])
+    own, graph = mentions(base, raw)
+    edges = trusted(graph)
+    rows = own.select("doc_id", "t", "start", "end", "instance", F.inline("patterns")).drop("shaped")
+    new = looked_up(rows, edges, ["pattern", "instance"], rows.count())
     return base.select("doc_id", "t", "kind", "start", "end").unionByName(new.select("doc_id", "t", F.lit("id").alias("kind"), "start", "end").distinct())
 
 

@@ -50,22 +50,26 @@ def _covered(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(let(ordered, places), total))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_repeat_words")
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_upper and n_repeat_words (long); null text counts as empty.
+    """``docs`` with the long columns ``MEASURES``; null text counts as empty.
 
-    Window equality is equality of 64-bit hashes within one document. Extra columns pass through.
+    Window equality is equality of 64-bit hashes within one document. Extra columns pass through, but those named like a
+    measurement are replaced by it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    staged = docs.withColumns({
-        "_words": F.regexp_extract_all(text, F.lit(WORD), 0), "_lines": lines,
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)), "n_upper": F.regexp_count(text, F.lit("[A-Z]")),
-    }).withColumn("_hashes", _window_hashes(F.col("_words")))
-    whole = {c: F.col(c).cast("long") for c in ("word_chars", "n_symbols", "n_upper")}
-    return staged.withColumns(whole | {
-        "n_words": F.size("_words").cast("long"), "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": _covered(F.col("_hashes")),
-    }).drop("_words", "_lines", "_hashes")
+    staged = docs.select(
+        F.struct("*").alias("row"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"), lines.alias("lines"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).alias("n_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("n_upper")).withColumn("hashes", _window_hashes(F.col("words")))
+    made = {
+        "n_words": F.size("words"), "word_chars": F.col("word_chars"), "n_symbols": F.col("n_symbols"), "n_lines": F.size("lines"), "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_upper": F.col("n_upper"), "n_repeat_words": _covered(F.col("hashes")),
+    }
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in MEASURES]
+    return staged.select(*kept, *[made[m].cast("long").alias(m) for m in MEASURES])
 
 
 @dataclass(frozen=True)
@@ -132,15 +136,16 @@ def ablation(rows: DataFrame, version: int = CURRENT) -> DataFrame:
     """(rule, failed, only_failure, kept, kept_without) for every rule: documents that fail it, that fail it and nothing
     else, that the policy keeps, and that it would keep with the rule's bit ignored.
 
-    The ledger is first folded to one row per combination of bits (at most two to the number of rules).
+    One aggregate over the bits of the ledger, added up on the map side; it gives one row, which becomes a row a rule.
     """
-    policy = POLICIES[version]
-    folded = rows.groupBy("failures").agg(F.count("*").alias("n"))
-    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    each = folded.select("failures", "n", F.inline(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(1 << i).cast("long").alias("bit")) for i, r in enumerate(RULES)])))
-    return each.groupBy("rule").agg(
-        count(F.col("failures").bitwiseAND(F.col("bit")) != 0).alias("failed"), count(F.col("failures") == F.col("bit")).alias("only_failure"),
-        count(passes(policy, F.col("failures"))).alias("kept"), count(passes(policy, F.col("failures").bitwiseAND(F.bitwise_not("bit")))).alias("kept_without"))
+    policy, failures = POLICIES[version], F.col("failures")
+    count = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0))
+    each = [
+        F.struct(F.lit(r.name).alias("rule"), F.coalesce(F.sum(F.shiftright(failures, i).bitwiseAND(F.lit(1))), F.lit(0)).cast("long").alias("failed"), count(failures == 1 << i).alias("only_failure"),
+                 count(passes(policy, failures)).alias("kept"), count(passes(policy, failures.bitwiseAND(F.lit(~(1 << i))))).alias("kept_without"))
+        for i, r in enumerate(RULES)
+    ]
+    return rows.agg(F.array(*each).alias("rules")).select(F.inline("rules"))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -150,6 +155,11 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures")
 
 
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each quality rule rejects of all documents, alone and together with the others."""
+    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
 OP2_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -176,3 +186,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 +
        f0 + 2 * f1 + 4 * f2 + 8 * f3 + 16 * f4 + 32 * f5 + 64 * f6 AS failures
 FROM f
 """
+
+ABLATION_SQL = f"""
+WITH l AS ({OP2_SQL}), p AS (SELECT failures, unnest([0, 1, 2, 3, 4, 5, 6]) AS i FROM l), q AS (
+  SELECT i, failures, 1::BIGINT << i AS bit, failures & ~(1::BIGINT << i) AS left_over FROM p
+)
+SELECT ['{"', '".join(r.name for r in RULES)}'][i + 1] AS rule, count(*) FILTER (failures & bit <> 0)::BIGINT AS failed, count(*) FILTER (failures = bit)::BIGINT AS only_failure,
+       count(*) FILTER (failures & {bits(POLICIES[CURRENT].reject)} = 0 AND bit_count(failures & {bits(POLICIES[CURRENT].soft)}) <= {POLICIES[CURRENT].allowed})::BIGINT AS kept,
+       count(*) FILTER (left_over & {bits(POLICIES[CURRENT].reject)} = 0 AND bit_count(left_over & {bits(POLICIES[CURRENT].soft)}) <= {POLICIES[CURRENT].allowed})::BIGINT AS kept_without
+FROM q GROUP BY i
+"""

@@ -11,7 +11,7 @@ from tracewell.llm.mixing import op1_mixing
 from tracewell.llm.packing import op9_packing
 from tracewell.llm.pii import op4_pii
 from tracewell.llm.quality_model import op6_quality
-from tracewell.llm.quality_rules import OP2_SQL, op2_quality_rules
+from tracewell.llm.quality_rules import ABLATION_SQL, OP2_SQL, op2_quality_rules, quality_ablation
 from tracewell.llm.simhash import op10_simhash
 from tracewell.llm.toxicity import op5_toxicity
 from tracewell.llm.warc import OP3_SQL, op3_warc
@@ -28,9 +28,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "quality_ablation": quality_ablation,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "quality_ablation": ABLATION_SQL,
 }

@@ -86,35 +86,38 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def inflated(stream):
-    """Pieces of a gzip stream's content, of one member or several."""
+    """Pieces of a gzip stream's content, of one member or several; none is longer than ``BUFFER``, however well it was compressed."""
     d = zlib.decompressobj(31)
     while data := stream.read(BUFFER):
         while data:
-            yield d.decompress(data)
-            data = d.unused_data
+            yield d.decompress(data, BUFFER)
+            data = d.unconsumed_tail or d.unused_data
             if d.eof:
                 d = zlib.decompressobj(31)
+    while rest := d.decompress(d.unconsumed_tail, BUFFER):  # what a full piece left in the decompressor
+        yield rest
 
 
 def records(pieces):
     """(fields, header bytes, block bytes) of each record in an inflated stream."""
     held, stop = bytearray(), SEPARATOR.encode()
-    size = lambda end: int(re.search(rb"(?im)^Content-Length:\s*(\d+)", held[:end])[1])
-    need, end = 0, -1
+    at, end, need = 0, -1, 0
     for piece in pieces:
+        if at:  # once a piece, not once a record
+            del held[:at]
+            end, need, at = end - at if end >= 0 else end, need - at, 0
         held += piece
         while len(held) >= need:
             if end < 0:
-                end = held.find(stop)
+                end = held.find(stop, at)
                 if end < 0:
                     break
-                need = end + 4 + size(end) + 4
+                need = end + 4 + int(re.search(rb"(?im)^Content-Length:\s*(\d+)", held[at:end])[1]) + 4
                 continue
-            head, block = bytes(held[:end]), bytes(held[end + 4 : need - 4])
-            del held[:need]
-            need, end = 0, -1
+            head, block = bytes(held[at:end]), bytes(held[end + 4 : need - 4])
+            at, end = need, -1
             yield dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]), head, block
-    if held.strip():
+    if held[at:].strip():
         raise ValueError("an archive ends within a record")
 
 
@@ -175,10 +178,14 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages through archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """All pages through archives and back: page_id, payload_bytes, payload_digest, record_type, refers_to. The archives are deleted once read."""
     folder = fresh_folder(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/streams")
-    return read(normalise(spark, f"{folder}/streams", f"{folder}/members"))
+    archives = normalise(spark, f"{folder}/streams", f"{folder}/members")
+    removed(spark, f"{folder}/streams")
+    rows = cut(read(archives))
+    removed(spark, folder)
+    return rows
 
 
 OP3_SQL = """

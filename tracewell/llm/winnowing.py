@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing, in column expressions.
 
-A text is read as tokens: runs without white space, of at most sixteen characters (so that a script without spaces has
-tokens too). Every run of ``K`` tokens is hashed; in every window of ``W`` neighbouring hashes the least one is chosen, the
-rightmost of equal ones, and a fingerprint keeps each chosen hash with its position once. Two texts that share
-``W + K - 1`` tokens in a row share a chosen hash.
+A text is read as tokens: runs without white space of at most ``RUN`` characters, and the single characters of longer runs (as in
+a script without spaces), so that where a run begins does not matter to what follows. The hash of ``K`` tokens is a polynomial in
+the hashes of the tokens, made by doubling: neighbouring places share the hashes of two and of four tokens, of which those of
+``K`` are put together, so that each place costs a few multiplications whatever ``K``. In every window of ``W`` neighbouring hashes
+the least one is chosen, the rightmost of equal ones (minima are doubled in the same way), and a fingerprint keeps each chosen
+hash with its position once. Two texts that share ``W + K - 1`` tokens in a row share a chosen hash.
 
 A hash (31 bits) and its position are held in one long, the hash above and the position counted down below it, so that the
 least long of a window is the rightmost least hash.
@@ -15,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 5, 8
-TOKEN = r"[^\x20\x09-\x0D]{1,16}"
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
+#: The polynomial is taken modulo the prime 2**31 - 1; products stay below 2**62.
+PRIME, BASE = (1 << 31) - 1, 1_103_515_245
 LOW = (1 << 32) - 1
 #: Documents in a stretch of the id order, about, and stretches at most (their first documents are broadcast by key: 24 bytes each).
 STRETCH_ROWS, STRETCHES, COARSE = 500, 1 << 20, 1024
@@ -29,16 +33,25 @@ def let(value: Column, body) -> Column:
 def chosen(text: Column) -> Column:
     """The fingerprint of a text as longs in order of position. Fewer than ``K`` tokens are hashed as one; none give no hash."""
 
+    def joined(a: Column, b: Column, at: int, times: int) -> Column:
+        """At every place the hash in ``a`` followed by the one in ``b`` that begins ``at`` tokens later and is of as many tokens as ``times`` says."""
+        factor = pow(BASE, times, PRIME)
+        return F.transform(a, lambda v, i: (v * F.lit(factor) + F.coalesce(F.get(b, i + at), F.lit(0))) % F.lit(PRIME))
+
     def hashes(tokens: Column) -> Column:
         n = F.size(tokens)
-        keyed = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 33), 32).bitwiseOR(F.lit(LOW) - i)
-        many = F.transform(F.sequence(F.lit(0), F.greatest(n - K, F.lit(0))), lambda i: keyed(F.xxhash64(*[F.get(tokens, i + k) for k in range(K)]), i))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(keyed(F.xxhash64(tokens), F.lit(0)))).otherwise(many)
+        keyed = lambda h, i: F.shiftleft(h, 32).bitwiseOR(F.lit(LOW) - i)
+        one = F.transform(tokens, lambda x: F.shiftrightunsigned(F.xxhash64(x), 33) % F.lit(PRIME))
+        five = let(one, lambda a: joined(let(joined(a, a, 1, 1), lambda b: joined(b, b, 2, 2)), a, 4, 1))
+        many = F.transform(F.slice(five, 1, F.greatest(n - (K - 1), F.lit(1))), keyed)
+        few = F.array(keyed(F.shiftrightunsigned(F.xxhash64(tokens), 33) % F.lit(PRIME), F.lit(0)))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, few).otherwise(many)
 
     def minima(v: Column) -> Column:
-        last = F.greatest(F.size(v) - W, F.lit(0))
-        windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(v, i + 1, F.lit(W))))
-        return F.when(F.size(v) == 0, v).otherwise(F.array_distinct(windows))
+        """Beyond the end nothing is less, so that fewer hashes than ``W`` have one window."""
+        doubled = lambda x, at: F.transform(x, lambda m, i: F.least(m, F.get(x, i + at)))
+        eight = let(let(doubled(v, 1), lambda x: doubled(x, 2)), lambda x: doubled(x, 4))
+        return F.when(F.size(v) == 0, v).otherwise(F.array_distinct(F.slice(eight, 1, F.greatest(F.size(v) - (W - 1), F.lit(1)))))
 
     return let(let(F.regexp_extract_all(text, F.lit(TOKEN), 0), hashes), minima)
 
@@ -79,7 +92,8 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
     The order is by doc_id (null first), rows with the same id by a hash of the text; after the last comes the first.
     Documents are dealt into stretches of that order and sorted within each; what follows a stretch's last document is the
-    first of the next stretch, which is added to the stretch for this. Texts are shuffled once.
+    first of the next stretch, which is added to the stretch for this. Texts are shuffled once, without the columns, which are
+    computed where the texts arrive.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     n, low, high = docs.select(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
@@ -96,14 +110,14 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     wanted = dealt.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("kt")))
     added = wanted.dropDuplicates(["before"]).select("doc_id", "text", "t", F.col("before").alias("stretch"), F.lit(True).alias("added"))
 
-    whole = dealt.withColumn("added", F.lit(False)).unionByName(added).withColumns(columns)
+    whole = dealt.withColumn("added", F.lit(False)).unionByName(added).repartition("stretch").withColumns(columns)
     line = Window.partitionBy("stretch").orderBy("added", "doc_id", "t")
     names = ["text", *columns]
     return whole.withColumns({f"next_{c}": F.lead(c).over(line) for c in names}).where(~F.col("added")).select("doc_id", *names, *[f"next_{c}" for c in names])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint``; null texts count as empty, empty texts have an empty fingerprint."""
+    """``docs`` with ``fingerprint`` (in the place of a column of that name); null texts count as empty, empty texts have an empty fingerprint."""
     return docs.withColumn("fingerprint", spelled(chosen(F.coalesce(F.col(text_col), F.lit("")))))
 
 
