@@ -59,12 +59,20 @@ def looked_up(rows: DataFrame, found: DataFrame, key: list[str], total: int, how
     """``rows`` joined with ``found`` (one row a key: ``key``, records, ...) on ``key``, without a task for a frequent key.
 
     ``records`` is how many of the ``total`` rows have the key. Keys with more than ``HOT_SHARE`` of them are broadcast; the
-    others are shuffled. ``how`` is inner or left. The columns of ``found`` other than ``records`` are added.
+    others are shuffled. Rows that were found in the broadcast table go along under places of their own, so that they spread out and match
+    nothing. ``how`` is inner or left. The columns of ``found`` other than ``records`` are added.
     """
     most = max(1, int(total * HOT_SHARE))
-    hot, cool = found.where(F.col("records") > most).drop("records"), found.where(F.col("records") <= most).drop("records")
-    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cool, key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(others)
+    new = [c for c in found.columns if c not in (*key, "records")]
+    side = lambda part, mark: part.select(*key, F.struct(F.lit(True).alias("_there"), *new).alias(mark))
+    hot, cool = side(found.where(F.col("records") > most), "_hot"), side(found.where(F.col("records") <= most), "_cool")
+    # Not 0 where a row was found in the broadcast table, so it matches nothing more.
+    place = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*rows.columns).bitwiseOR(F.lit(1)))
+    seen = rows.join(F.broadcast(hot), key, "left").withColumn("_place", place)
+    joined = seen.join(cool.withColumn("_place", F.lit(0).cast("long")), ["_place", *key], "left")
+    if how == "inner":
+        joined = joined.where(F.col("_hot").isNotNull() | F.col("_cool").isNotNull())
+    return joined.select(*rows.columns, *[F.coalesce(F.col("_hot").getField(c), F.col("_cool").getField(c)).alias(c) for c in new])
 
 
 def groups(rows: Iterable, chars: int = TEXT_CHARS, length=lambda text: len(text or "")) -> Iterator[list]:

@@ -19,7 +19,7 @@ def thinned(rows: DataFrame, of: str, n: int, seed: int) -> DataFrame:
     ``FLOOR`` of it (all if it has fewer).
 
     The least hashes of the id are taken. How many of a class there are says below which hash they lie, give or take, so
-    that only about twice as many rows are ranked; which rows are chosen depends on the ids alone.
+    that only about twice as many ids are looked at on the driver; which are chosen depends on the ids alone.
     """
     classes = {r[0]: r[1] for r in rows.groupBy(of).count().limit(MAX_CLASSES + 1).collect()}
     if len(classes) > MAX_CLASSES:
@@ -28,11 +28,13 @@ def thinned(rows: DataFrame, of: str, n: int, seed: int) -> DataFrame:
     want = {c: min(k, max(-(-n * k // total), FLOOR)) for c, k in classes.items()}
     if not want:
         return rows.limit(0)
-    by = F.create_map(*[x for c, k in want.items() for x in (F.lit(c), F.struct(F.lit(k).alias("k"), F.lit(min(1.0, (2.0 * k + 50) / classes[c])).alias("share")))])
-    hashed = rows.select("doc_id", of, F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1).alias("at"), F.get(F.array(by), F.lit(0))[F.col(of)].alias("want"))
-    line = Window.partitionBy(of).orderBy("at", "doc_id")
-    near = hashed.where(F.col("at") <= F.col("want.share") * float(1 << 63)).withColumn("place", F.row_number().over(line))
-    return near.where(F.col("place") <= F.col("want.k")).select("doc_id", of)
+    share = F.create_map(*[x for c, k in want.items() for x in (F.lit(c), F.lit(min(1.0, (2.0 * k + 50) / classes[c]) * float(1 << 63)))])
+    hashed = rows.select("doc_id", of, F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1).alias("at"))
+    least = {c: [] for c in want}
+    for r in hashed.where(F.col("at") <= F.get(F.array(share), F.lit(0))[F.col(of)]).collect():
+        least[r[of]].append((r["at"], r["doc_id"]))
+    chosen = [(i, c) for c, found in least.items() for _, i in sorted(found)[: want[c]]]
+    return rows.sparkSession.createDataFrame(chosen, rows.select("doc_id", of).schema)
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -136,12 +136,15 @@ class ByteNetwork:
     def _gradient(self, data: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
         values, places, sizes = [], [], []
         for d in data:
-            r = self.responses(d)
-            for a, b in chunk_bounds(len(r)):
-                where = r[a:b].argmax(axis=0)
-                values.append(r[a + where, np.arange(FILTERS)])
-                places.append(d[(a + where)[:, None] + np.arange(WIDTH)])  # FILTERS, WIDTH: the bytes under each filter
-            sizes.append(len(chunk_bounds(len(r))))
+            bounds, each = chunk_bounds(len(d) - WIDTH + 1), max(1, BLOCK // HOP)
+            for i in range(0, len(bounds), each):
+                low = bounds[i, 0]
+                r = self.responses(d[low : bounds[i : i + each][-1, 1] + WIDTH - 1])
+                for a, b in bounds[i : i + each] - low:
+                    where = a + r[a:b].argmax(axis=0)
+                    values.append(r[where, np.arange(FILTERS)])
+                    places.append(d[(low + where)[:, None] + np.arange(WIDTH)])  # FILTERS, WIDTH: the bytes under each filter
+            sizes.append(len(bounds))
         v, places, sizes = np.array(values, dtype=np.float64) + self.p["shift"], np.array(places), np.array(sizes)
         v, firsts = np.maximum(v, 0), np.concatenate([[0], np.cumsum(sizes)[:-1]])
         mean, most = np.add.reduceat(v, firsts, axis=0) / sizes[:, None], np.maximum.reduceat(v, firsts, axis=0)

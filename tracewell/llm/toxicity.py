@@ -168,7 +168,7 @@ class ToxicField:
         rng = np.random.default_rng(seed)
         for ws, toxic in zip(words, y, strict=True):
             # Stretches of the whole text; where they begin is left to chance, so that telling words stand anywhere in them.
-            for s in range(-int(rng.integers(LANE)), len(ws), LANE):
+            for s in range(-int(rng.integers(LANE)), len(ws), LANE) if ws else ():
                 each = [at[w] for w in ws[max(0, s) : s + LANE]]
                 windows.append((np.concatenate(each), np.array([len(i) for i in each], dtype=np.int8)))
                 marks.append(np.array([bool(toxic) and tells[w] for w in ws[max(0, s) : s + LANE]], dtype=bool))
