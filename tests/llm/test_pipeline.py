@@ -5,7 +5,8 @@ import os
 import pytest
 
 import corpus_pipeline
-from tracewell.llm import packing, quality_model, simhash
+from tests.llm.test_similar import brute_kept
+from tracewell.llm import packing, quality_model
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -22,8 +23,8 @@ def test_stages(spark, tmp_path):
             model = quality_model.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
             assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in docs.collect() if model.score(r["text"]) >= 0.5)
         if name == "near_duplicates":
-            groups = simhash.near_duplicates(docs).collect()
-            assert sorted(r["doc_id"] for r in after.collect()) == sorted({r["component_id"] for r in groups})
+            rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+            assert sorted(r["doc_id"] for r in after.collect()) == sorted(x[0] for x in brute_kept(rows))
         if name == "personal_data":
             assert after.count() == docs.count() and not [r for r in after.collect() if "@mail" in r["text"]]
         if name == "mix_sources":

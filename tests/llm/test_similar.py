@@ -1,10 +1,10 @@
-"""Near-duplicates of the pipeline against brute force over all pairs."""
+"""The filter by similarity against brute force over all pairs."""
 
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from tracewell.llm import similar
+from tracewell.llm import simhash, similar
+from tracewell.llm.common import looked_up
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "pra", "sti", "vo") for b in ("n", "ra", "tel", "shu", "kig", "d")]
 
@@ -27,6 +27,15 @@ def brute_kept(rows):
     return [min(g, key=lambda x: x[:2])[2:] for g in groups.values()]
 
 
+def test_hot_keys_are_looked_up(spark):
+    """Whatever the share of a key, the rows are those of a plain join."""
+    rows = spark.createDataFrame([(i if i % 3 else 7, i) for i in range(900)] + [(None, 1)], "k long, v long")
+    found = spark.createDataFrame([(7, 302, "hot"), (8, 1, "cool"), (10, 1, "cool")], "k long, records long, name string")
+    for how in ("inner", "left"):
+        got = looked_up(rows, found, ["k"], 901, how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(found.drop("records"), "k", how).collect()))
+
+
 def edited(words, r, n):
     out = list(words)
     for i in r.choice(len(out), n, replace=False):
@@ -45,8 +54,8 @@ def test_near_copies_of_similarity_80(spark, monkeypatch, hot):
     rows += [(1000, " ".join(base))] + [(1001 + i, edited(base, r, 4)) for i in range(40)]
     rows += [(5, "some other text"), (10, "a text with an id that is there twice"), (None, "no id"), (None, " ".join(base).upper()), (None, "NO  id"), (20, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     got = sorted((x["doc_id"] for x in kept.collect()), key=lambda x: (x is None, x or 0))
     assert got == sorted((x[0] for x in brute_kept(rows)), key=lambda x: (x is None, x or 0))
-    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+    assert simhash.keep_first(docs.limit(0)).count() == 0
