@@ -9,7 +9,7 @@ import tracewell as tw
 from tracewell.checks import CheckStatus
 from tracewell.inspections import RandomNote
 from tracewell.ml import ColumnTransformer, DecisionTree, Imputer, KBins, LogisticRegression, NeuralNetwork, OneHot, Scaler, WordVectors, label_binarize, train_test_split
-from tracewell.plans.nodes import OperatorType
+from tracewell.plans.nodes import Op
 from tracewell.plans.sqltext import Mode, to_sql
 from tracewell.sources import run_timed, to_numpy, write_parquet, write_sql
 
@@ -37,7 +37,7 @@ def same_by_sql(spark, frame):
 def test_sources(session):
     assert rows(tw.data_frame([0, 1, 2], ["A"])) == [(0,), (1,), (2,)]
     assert rows(tw.series([0, 2, 4, None], "A")) == [(0,), (2,), (4,), (None,)]
-    assert [n.context.operator for n in session.dag.nodes] == [OperatorType.DATA_SOURCE] * 2
+    assert [n.op for n in session.dag.nodes] == [Op.SCAN] * 2
     assert tw.untracked(session.spark.range(3).toDF("a")).node.node_id == -1
 
 
@@ -136,7 +136,7 @@ def test_column_transformer(session):
     t = ColumnTransformer([("n", Scaler(), ["A"]), ("c", [Imputer("most_frequent"), OneHot()], ["B"])]).fit(f)
     out = t.transform(f)
     assert [r[0] for r in rows(out.select("features"))] == [pytest.approx(v) for v in ([-1, 1, 0, 0], [-0.71428571, 0, 1, 0], [1.57142857, 1, 0, 0], [0.14285714, 0, 0, 1])]
-    assert [n.context.operator for n in session.dag.parents(out.node)] == [OperatorType.TRANSFORMER] * 2
+    assert [n.op for n in session.dag.parents(out.node)] == [Op.ENCODE] * 2
     assert to_numpy(out.select("features", "y")).shape == (4, 5)
     same_by_sql(session.spark, out)
 
@@ -160,7 +160,7 @@ def test_estimators(session, model):
     assert model.score(t.transform(f)) == 1.0
     new = t.transform(tw.data_frame({"A": [-1.0, 4.0], "B": [-1.0, 4.0]}))
     assert [r[0] for r in rows(model.predict(new).select("prediction"))] == [0.0, 1.0]
-    assert [n.context.operator for n in session.dag.nodes].count(OperatorType.ESTIMATOR) == 1
+    assert [n.op for n in session.dag.nodes].count(Op.FIT) == 1
 
 
 def test_lineage_of_a_join(spark):

@@ -37,8 +37,8 @@ def inspected(spark, run, sensitive):
 def test_risks(spark, files):
     r = inspected(spark, lambda: risks(files["patients"], files["histories"], word_vectors=True), ["age_group", "race"])
     assert 0.3 <= r.names["accuracy"] <= 1
-    joins = [n for n in r.dag.nodes if n.context.function == "merge"]
-    last = r.dag_node_to_inspection_results[[n for n in r.dag.nodes if n.context.function == "where"][-1]][tw.HistogramForColumns(["age_group", "race"])]
+    joins = [n for n in r.dag.nodes if n.function == "merge"]
+    last = r.dag_node_to_inspection_results[[n for n in r.dag.nodes if n.function == "where"][-1]][tw.HistogramForColumns(["age_group", "race"])]
     assert len(joins) == 2 and set(last["age_group"]) == {"group1", "group2", "group3"}, "known though projected away"
     assert [c.details.get("illegal") for c in r.check_to_check_results.values()][1] == ["race"]
     data = r.names["data"]

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from tracewell.checks.base import Check, CheckResult, CheckStatus
 from tracewell.inspections.histogram import HistogramForColumns
-from tracewell.plans.nodes import OperatorType
 
 
 @dataclass
@@ -57,8 +56,8 @@ class NoBiasIntroducedFor(Check):
         inspection = HistogramForColumns(self.columns)
         out = []
         for node in dag.topological():
-            imputed = node.context.function == "Imputer" and set(self.columns) & set(node.columns)
-            if node.context.operator in (OperatorType.JOIN, OperatorType.SELECTION) or imputed:
+            imputed = node.function == "Imputer" and set(self.columns) & set(node.columns)
+            if node.op.chooses_rows or imputed:
                 for column in self.columns:
                     before: dict = {}
                     for parent in dag.parents(node):
@@ -69,11 +68,11 @@ class NoBiasIntroducedFor(Check):
     def evaluate(self, dag, results):
         changes = self.changes(dag, results)
         bad = [c for c in changes if not c.acceptable]
-        said = "; ".join(f"{c.node.context.operator.value} ({c.node.description}) changes {c.column} by {c.least:.4g}" for c in bad)
+        said = "; ".join(f"{c.node.op.value} ({c.node.description}) changes {c.column} by {c.least:.4g}" for c in bad)
         return CheckResult(self, CheckStatus.FAILURE if bad else CheckStatus.SUCCESS, said, {"changes": changes})
 
     @staticmethod
     def overview(spark, result: CheckResult):
         """(operator, description, column, acceptable, least change) of every operator looked at, as a DataFrame."""
-        rows = [(c.node.context.operator.value, c.node.description, c.column, c.acceptable, c.least) for c in result.details["changes"]]
+        rows = [(c.node.op.value, c.node.description, c.column, c.acceptable, c.least) for c in result.details["changes"]]
         return spark.createDataFrame(rows, "operator string, description string, column string, acceptable boolean, least double")

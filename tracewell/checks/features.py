@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tracewell.checks.base import Check, CheckResult, CheckStatus
 from tracewell.inspections.rows import MissingEmbeddings
-from tracewell.plans.nodes import OperatorType
+from tracewell.plans.nodes import Op
 
 #: Features that no model should use.
 ILLEGAL_FEATURES = ("race", "gender", "age")
@@ -27,11 +27,11 @@ class NoIllegalFeatures(Check):
         found: set[str] = set()
 
         # Nodes whose features are put together by a concatenation, there or above.
-        joined = dag.walk(lambda node, parents: node.context.operator is OperatorType.CONCATENATION or any(parents))
+        joined = dag.walk(lambda node, parents: node.op is Op.ASSEMBLE or any(parents))
 
         def walk(node) -> None:
             parents = dag.parents(node)
-            if node.context.operator is OperatorType.CONCATENATION:
+            if node.op is Op.ASSEMBLE:
                 found.update(c for p in parents for c in p.columns if c in self.names)
             elif joined[node]:
                 for parent in parents:
@@ -41,9 +41,9 @@ class NoIllegalFeatures(Check):
                 found.update(c for c in node.columns if c in self.names)
 
         for node in dag.topological():
-            if node.context.operator is OperatorType.TRAIN_DATA:
+            if node.op is Op.EXAMPLES:
                 walk(node)
-        said = f"Used illegal columns: {sorted(found)}" if found else ""
+        said = f"trained on {', '.join(sorted(found))}" if found else ""
         return CheckResult(self, CheckStatus.FAILURE if found else CheckStatus.SUCCESS, said, {"illegal": sorted(found)})
 
 

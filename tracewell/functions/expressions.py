@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +20,13 @@ def literal(value) -> str:
         return f"CAST('{value!r}' AS DOUBLE)"
     if isinstance(value, int):
         return str(value)
+    if isinstance(value, Decimal):
+        digits, scale = len(value.as_tuple().digits), max(0, -value.as_tuple().exponent)
+        return f"CAST('{value:f}' AS DECIMAL({min(38, max(digits, scale + 1) + max(0, value.as_tuple().exponent))}, {scale}))"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP '{value.isoformat(' ')}'"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'"
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
 

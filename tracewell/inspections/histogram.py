@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from tracewell.inspections.base import Inspection
 from tracewell.operators.frame import quoted
-from tracewell.plans.nodes import ROW_PRESERVING, OperatorType
+from tracewell.plans.nodes import Op
 from tracewell.plans.session import sensitive_column
 
 
+#: Counts that go to the driver at most, of all operators and columns together.
+MAX_VALUES = 200_000
+
+
 class HistogramForColumns(Inspection):
     """Result: {column: {value: count}}, null counted as a value; a column that the rows never had gives {}.
 
@@ -29,10 +33,10 @@ class HistogramForColumns(Inspection):
         """The node whose histogram ``node`` has, given those of its parents: itself if it has to be counted; None without rows."""
         if frame is None:
             return None
-        touched = node.context.function in ("with_column", "replace", "label_binarize", "Imputer") and set(self.sensitive) & set(node.columns)
-        if node.context.operator in ROW_PRESERVING and len(parents) == 1 and parents[0] is not None and not touched:
+        touched = node.function in ("with_column", "replace", "label_binarize", "Imputer") and set(self.sensitive) & set(node.columns)
+        if node.op.keeps_rows and len(parents) == 1 and parents[0] is not None and not touched:
             return parents[0]
-        if node.context.operator is OperatorType.CONCATENATION and parents and parents[0] is not None and len(set(parents)) == 1:
+        if node.op is Op.ASSEMBLE and parents and parents[0] is not None and len(set(parents)) == 1:
             return parents[0]
         return node
 
@@ -53,7 +57,10 @@ class HistogramForColumns(Inspection):
             together = parts[0]
             for part in parts[1:]:
                 together = together.unionByName(part)
-            for r in together.groupBy("node", "i", *names).count().collect():
+            counted = together.groupBy("node", "i", *names).count().limit(MAX_VALUES + 1).collect()
+            if len(counted) > MAX_VALUES:
+                raise ValueError(f"the sensitive columns have more than {MAX_VALUES} values in all operators together; histograms are for columns of few values")
+            for r in counted:
                 out[nodes[r["node"]]][have[r["i"]][0]][r[names[r["i"]]]] = r["count"]
         return out
 

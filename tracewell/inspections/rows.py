@@ -58,9 +58,9 @@ class MissingEmbeddings(Inspection):
         return self.example_count
 
     def visit(self, node, frame, parents):
-        if frame is None or node.context.function != "WordVectors":
+        if frame is None or node.function != "WordVectors":
             return None
-        column = node.description.split("'")[1]
+        column = node.description.removeprefix("WordVectors of ")
         missing = F.forall(F.col(quoted(column)), lambda x: x == 0)
         made = frame.df
         row = made.select(F.count_if(missing), F.count("*")).first()

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tracewell.operators.frame import TracedFrame, quoted
-from tracewell.plans.nodes import OperatorType
+from tracewell.plans.nodes import Op
 from tracewell.plans.session import HIDDEN
 
 VECTOR, LABEL = f"{HIDDEN}vector", f"{HIDDEN}label"
@@ -22,9 +22,9 @@ class Classifier:
 
     def fit(self, frame: TracedFrame, label: str, features: str = "features") -> Classifier:
         frame._known([label, features])
-        data = frame._next(OperatorType.TRAIN_DATA, "fit", "Train Data", frame.df, [features], f"SELECT {quoted(features)} FROM {frame._name()}")
-        labels = frame._next(OperatorType.TRAIN_LABELS, "fit", "Train Labels", frame.df, [label], f"SELECT {quoted(label)} FROM {frame._name()}")
-        frame.session.record(OperatorType.ESTIMATOR, "fit", type(self).__name__, [], (data.node, labels.node))
+        data = frame._next(Op.EXAMPLES, "fit", f"{features} to learn from", frame.df, [features], f"SELECT {quoted(features)} FROM {frame._name()}")
+        labels = frame._next(Op.TARGETS, "fit", f"{label} to learn", frame.df, [label], f"SELECT {quoted(label)} FROM {frame._name()}")
+        frame.session.record(Op.FIT, "fit", type(self).__name__, [], (data.node, labels.node))
         rows = self._rows(frame, label, features).persist()
         try:
             width, n = rows.select(F.max(F.size(vector_to_array(VECTOR))), F.count("*")).first()
@@ -43,7 +43,7 @@ class Classifier:
         df = self.model.transform(frame.df.withColumn(VECTOR, array_to_vector(self.features)))
         keep = [c for c in frame.df.columns if c != "prediction"]
         visible = [*[c for c in frame.columns if c != "prediction"], "prediction"]
-        return frame._next(OperatorType.TRANSFORMER, "predict", type(self).__name__, df.select(*map(quoted, keep), "prediction"), visible, f"SELECT *, CAST(NULL AS DOUBLE) AS prediction FROM {frame._name()} -- predicted by a model")
+        return frame._next(Op.PREDICT, "predict", type(self).__name__, df.select(*map(quoted, keep), "prediction"), visible, None)
 
     def score(self, frame: TracedFrame) -> float:
         """Share of rows whose label is predicted."""
@@ -95,4 +95,4 @@ class WordVectors:
     def transform(self, frame: TracedFrame) -> TracedFrame:
         df = self.model.setInputCol(f"{HIDDEN}words").setOutputCol(VECTOR).transform(frame.df.withColumn(f"{HIDDEN}words", F.array(F.coalesce(F.col(quoted(self.column)).cast("string"), F.lit("")))))
         df = df.withColumn(f"{HIDDEN}word", F.col(quoted(self.column))).withColumn(self.column, vector_to_array(VECTOR)).drop(VECTOR, f"{HIDDEN}words")
-        return frame._next(OperatorType.TRANSFORMER, "WordVectors", f"WordVectors: ['{self.column}']", df, frame.columns, f"SELECT * FROM {frame._name()} -- word vectors by a model")
+        return frame._next(Op.ENCODE, "WordVectors", f"WordVectors of {self.column}", df, frame.columns, None, changed=[self.column])

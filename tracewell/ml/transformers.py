@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.expressions import Expr, col, lit
 from tracewell.operators.frame import TracedFrame, quoted
-from tracewell.plans.nodes import OperatorType
+from tracewell.plans.nodes import Op
 
 #: Categories that a one-hot encoding may have; more is an error, as they become constants of a plan.
 MAX_CATEGORIES = 10_000
@@ -27,7 +27,11 @@ class Transformer:
     keeps_names = False
 
     def statistics(self, e: Expr) -> dict[str, Column]:
-        raise NotImplementedError
+        """Aggregates of the column, each of bounded size."""
+        return {}
+
+    #: What fitting needs of how often each value occurs: "values" (all that there are), "mode" or nothing.
+    counted: str | None = None
 
     def bound(self, e: Expr, found: dict) -> Expr:
         raise NotImplementedError
@@ -40,13 +44,37 @@ class Transformer:
 
 
 def fit_level(frame: TracedFrame, parts: list[tuple[Transformer, dict[str, Expr]]]) -> list[dict[str, dict]]:
-    """The statistics of every column of every part, from one aggregate over the frame."""
+    """The statistics of every column of every part, from one aggregate over the frame, and one more (for each type of column) that counts values."""
     wanted = {f"{i}|{c}|{k}": a for i, (t, es) in enumerate(parts) for c, e in es.items() for k, a in t.statistics(e).items()}
     row = frame.df.agg(*[a.alias(n) for n, a in wanted.items()]).first().asDict() if wanted else {}
     out: list[dict[str, dict]] = [{c: {} for c in es} for _, es in parts]
     for name, value in row.items():
         i, c, k = name.split("|", 1)[0], name.split("|", 1)[1].rsplit("|", 1)[0], name.rsplit("|", 1)[1]
         out[int(i)][c][k] = value
+    counted = [(i, c, e, t.counted) for i, (t, es) in enumerate(parts) for c, e in es.items() if t.counted]
+    types = frame.df.select(*[e.column().alias(str(j)) for j, (_, _, e, _) in enumerate(counted)]).dtypes if counted else []
+    for kind in dict.fromkeys(t for _, t in types):
+        of_kind = [x for x, (_, t) in zip(counted, types, strict=True) if t == kind]
+        pairs = F.array(*[F.struct(F.lit(j).alias("j"), e.column().alias("value")) for j, (_, _, e, _) in enumerate(of_kind)])
+        counts = frame.df.select(F.inline(pairs)).where(F.col("value").isNotNull()).groupBy("j", "value").agg(F.count("*").alias("n"))
+        modes = [j for j, x in enumerate(of_kind) if x[3] == "mode"]
+        if modes:
+            for i, c, _, _ in (of_kind[j] for j in modes):
+                out[i][c]["mode"] = None
+            for r in counts.where(F.col("j").isin(modes)).groupBy("j").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("top")).collect():
+                out[of_kind[r["j"]][0]][of_kind[r["j"]][1]]["mode"] = r["top"]["value"]
+        sets = [j for j, x in enumerate(of_kind) if x[3] == "values"]
+        if sets:
+            for i, c, _, _ in (of_kind[j] for j in sets):
+                out[i][c]["values"] = []
+            rows = counts.where(F.col("j").isin(sets)).select("j", "value").limit(len(sets) * (MAX_CATEGORIES + 1)).collect()
+            for r in rows:
+                out[of_kind[r["j"]][0]][of_kind[r["j"]][1]]["values"].append(r["value"])
+            for i, c, _, _ in (of_kind[j] for j in sets):
+                found = out[i][c]["values"]
+                if len(found) > MAX_CATEGORIES:
+                    raise ValueError(f"{c} has more than {MAX_CATEGORIES} categories")
+                found.sort()
     return out
 
 
@@ -67,7 +95,7 @@ class Fitted:
         made = self.expressions()
         items = [f"{made[c].sql()} AS {quoted(c)}" if c in made else quoted(c) for c in frame.columns]
         name = type(self.transformer).__name__
-        return frame.transformed(name, f"{name}: {self.columns}", {c: e.column() for c, e in made.items()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}", track=self.columns if self.transformer.keeps_names else ())
+        return frame.transformed(name, f"{name} of {', '.join(self.columns)}", {c: e.column() for c, e in made.items()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}", track=self.columns if self.transformer.keeps_names else ())
 
 
 @dataclass
@@ -83,10 +111,14 @@ class Imputer(Transformer):
             raise ValueError(f"unknown strategy {self.strategy!r}")
 
     def statistics(self, e):
-        return {"fill": F.avg(e.column()) if self.strategy == "mean" else F.mode(e.column(), True)}
+        return {"fill": F.avg(e.column())} if self.strategy == "mean" else {}
+
+    @property
+    def counted(self):
+        return "mode" if self.strategy == "most_frequent" else None
 
     def bound(self, e, found):
-        return Expr("coalesce({}, {})", e, lit(found["fill"]))
+        return Expr("coalesce({}, {})", e, lit(found[self.counted or "fill"]))
 
 
 @dataclass
@@ -96,14 +128,10 @@ class OneHot(Transformer):
 
     handle_unknown: str = "ignore"
     vector = True
-
-    def statistics(self, e):
-        return {"values": F.array_sort(F.collect_set(e.column()))}
+    counted = "values"
 
     def bound(self, e, found):
         values = [lit(v) for v in found["values"]]
-        if len(values) > MAX_CATEGORIES:
-            raise ValueError(f"{len(values)} categories; at most {MAX_CATEGORIES} are encoded")
         if not values:
             return Expr("CAST(array() AS array<double>)", columns=e.columns)
         every = "array(" + ", ".join(["{}"] * len(values)) + ")"
@@ -153,8 +181,8 @@ def label_binarize(frame: TracedFrame, column: str, classes: list) -> TracedFram
     frame._known([column])
     made = Expr("CASE WHEN {} = {} THEN 0 WHEN {} = {} THEN 1 END", col(column), lit(classes[0]), col(column), lit(classes[1]))
     items = [f"{made.sql()} AS {quoted(c)}" if c == column else quoted(c) for c in frame.columns]
-    return frame.transformed("label_binarize", f"label_binarize, classes: {classes}", {column: made.column()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}",
-                             OperatorType.PROJECTION_MODIFY, [column])
+    return frame.transformed("label_binarize", f"{column}: {classes[0]!r} is 0, {classes[1]!r} is 1", {column: made.column()}, frame.columns, f"SELECT {', '.join(items)} FROM {frame._name()}",
+                             Op.DERIVE, [column])
 
 
 @dataclass
@@ -201,7 +229,7 @@ class ColumnTransformer:
             ends.append(part)
         made = self.expression()
         visible = [*[c for c in frame.columns if c != self.output], self.output]
-        node = frame.session.record(OperatorType.CONCATENATION, "ColumnTransformer", f"to {self.output}", visible, tuple(e.node for e in ends))
+        node = frame.session.record(Op.ASSEMBLE, "ColumnTransformer", f"{self.output} from {len(self.parts)} parts", visible, tuple(e.node for e in ends))
         sql = f"SELECT {', '.join(map(quoted, visible[:-1]))}, {made.sql()} AS {quoted(self.output)} FROM {frame._name()}"
         return TracedFrame(frame.session, frame.df.withColumn(self.output, made.column()), node, visible, frame.order, sql)
 

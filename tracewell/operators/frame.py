@@ -7,12 +7,13 @@ again wherever nothing asks for them. Every operator adds one node and returns a
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.expressions import Expr, col, lit
-from tracewell.plans.nodes import DagNode, OperatorType
+from tracewell.plans.nodes import DagNode, Op
 from tracewell.plans.session import HIDDEN, Session, row_column, sensitive_column
 
 AGGREGATES = {
@@ -23,6 +24,15 @@ SQL_AGGREGATES = {"mean": "avg", "std": "stddev_samp", "std_pop": "stddev_pop",
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full", "cross": "cross"}
 
 
+def directed(column: Column, ascending: bool) -> Column:
+    """Nulls come first in ascending order and last in descending order, in SQL too."""
+    return column.asc_nulls_first() if ascending else column.desc_nulls_last()
+
+
+def order_sql(order: Iterable[tuple[str, bool]]) -> str:
+    return ", ".join(f"{quoted(c)} {'ASC NULLS FIRST' if up else 'DESC NULLS LAST'}" for c, up in order)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -30,9 +40,12 @@ def quoted(name: str) -> str:
 class TracedFrame:
     """A DataFrame, the node that made it, and which columns a user sees."""
 
-    def __init__(self, session: Session, df: DataFrame, node: DagNode, visible: Iterable[str], order: Iterable[str] = (), sql: str = ""):
+    def __init__(self, session: Session, df: DataFrame, node: DagNode, visible: Iterable[str], order: Iterable[tuple[str, bool]] = (), sql: str | None = ""):
+        """``order``: (column, whether ascending) pairs, as far as the frame has those columns. ``sql`` is None if SQL cannot express the operator."""
         self.session, self.df, self.node = session, df, node
-        self.columns, self.order, self.sql = list(visible), list(order), sql
+        self.columns, self.sql = list(visible), sql
+        have = set(df.columns)
+        self.order = list(takewhile(lambda x: x[0] in have, order))
         session.frames[node] = self
 
     # What a user gets out.
@@ -46,7 +59,7 @@ class TracedFrame:
 
     def ordered(self) -> DataFrame:
         """All columns, hidden ones too, with rows in the frame's own order where it has one."""
-        return self.df.orderBy(*[F.col(quoted(c)) for c in self.order]) if self.order else self.df
+        return self.df.orderBy(*[directed(F.col(quoted(c)), up) for c, up in self.order]) if self.order else self.df
 
     def __getitem__(self, key):
         """``frame["c"]`` is an expression; a list of names projects; an expression filters."""
@@ -67,21 +80,23 @@ class TracedFrame:
     def hidden(self) -> list[str]:
         return [c for c in self.df.columns if c.startswith(HIDDEN)]
 
-    def _next(self, operator: OperatorType, function: str, description: str, df: DataFrame, visible: Iterable[str], sql: str, order=None) -> TracedFrame:
+    def _next(self, operator: Op, function: str, description: str, df: DataFrame, visible: Iterable[str], sql: str | None, order=None, changed: Iterable[str] = ()) -> TracedFrame:
+        """The frame after one operator. Its order is this one's up to the first column that is ``changed`` or gone, unless given."""
         visible = list(visible)
         node = self.session.record(operator, function, description, visible, (self.node,))
-        return TracedFrame(self.session, df, node, visible, self.order if order is None else order, sql)
+        kept = takewhile(lambda x: x[0] not in set(changed), self.order) if order is None else order
+        return TracedFrame(self.session, df, node, visible, kept, sql)
 
     def select(self, *names: str) -> TracedFrame:
         """Keeps the named columns, in that order."""
         self._known(names)
         keep = [F.col(quoted(c)) for c in [*names, *self.hidden()]]
-        return self._next(OperatorType.PROJECTION, "select", f"to {list(names)}", self.df.select(*keep), names, f"SELECT {', '.join(map(quoted, names))} FROM {self._name()}")
+        return self._next(Op.PROJECT, "select", f"keep {', '.join(names)}", self.df.select(*keep), names, f"SELECT {', '.join(map(quoted, names))} FROM {self._name()}")
 
     def where(self, condition: Expr) -> TracedFrame:
         """Keeps rows for which the condition is true; columns that were projected away in this frame cannot be named."""
         self._known(condition.columns)
-        return self._next(OperatorType.SELECTION, "where", f"Select by {condition.sql()}", self.df.where(condition.column()), self.columns, f"SELECT * FROM {self._name()} WHERE {condition.sql()}")
+        return self._next(Op.FILTER, "where", f"rows where {condition.sql()}", self.df.where(condition.column()), self.columns, f"SELECT * FROM {self._name()} WHERE {condition.sql()}")
 
     def where_select(self, condition: Expr, *names: str) -> TracedFrame:
         """Filters by a condition that may use columns which the following projection drops: ``df[cols][df['c'] ...]``."""
@@ -95,7 +110,7 @@ class TracedFrame:
         missing = [f"({quoted(c)} IS NULL{f' OR isnan({quoted(c)})' if c in double else ''})" for c in subset]
         glue = " OR " if how == "any" else " AND "
         sql = f"SELECT * FROM {self._name()} WHERE NOT ({glue.join(missing)})" if thresh is None else f"SELECT * FROM {self._name()} WHERE {' + '.join(f'CAST(NOT {m} AS INT)' for m in missing)} >= {thresh}"
-        return self._next(OperatorType.SELECTION, "dropna", "dropna", self.df.dropna(how, thresh, subset), self.columns, sql)
+        return self._next(Op.FILTER, "dropna", f"rows without missing values in {', '.join(subset)}", self.df.dropna(how, thresh, subset), self.columns, sql)
 
     def with_column(self, name: str, value) -> TracedFrame:
         """Adds a column, or replaces the one of that name; ``value`` is an expression or a constant."""
@@ -104,7 +119,7 @@ class TracedFrame:
         df = self._sensitive(self.df.withColumn(name, value.column()), [name])
         new = name not in self.columns
         star = f"SELECT *, {value.sql()} AS {quoted(name)} FROM {self._name()}" if new else "SELECT " + ", ".join(f"{value.sql()} AS {quoted(c)}" if c == name else quoted(c) for c in self.columns) + f" FROM {self._name()}"
-        return self._next(OperatorType.PROJECTION_MODIFY, "with_column", f"modifies ['{name}']", df, [*self.columns, name] if new else self.columns, star)
+        return self._next(Op.DERIVE, "with_column", f"{name} := {value.sql()}", df, [*self.columns, name] if new else self.columns, star, changed=[name])
 
     def replace(self, old, new, subset: Iterable[str] | None = None) -> TracedFrame:
         """Replaces values equal to ``old`` as a whole, in string columns (of ``subset``) for strings and in all others for numbers."""
@@ -114,24 +129,29 @@ class TracedFrame:
         names = [c for c in (self.columns if subset is None else subset) if (c in text) == isinstance(old, str)]
         df = self._sensitive(self.df.withColumns({c: F.when(F.col(quoted(c)) == F.lit(old), F.lit(new)).otherwise(F.col(quoted(c))) for c in names}), names)
         items = [f"CASE WHEN {quoted(c)} = {lit(old).sql()} THEN {lit(new).sql()} ELSE {quoted(c)} END AS {quoted(c)}" if c in names else quoted(c) for c in self.columns]
-        return self._next(OperatorType.PROJECTION_MODIFY, "replace", f"Replace '{old}' with '{new}'", df, self.columns, f"SELECT {', '.join(items)} FROM {self._name()}")
+        return self._next(Op.DERIVE, "replace", f"{old!r} becomes {new!r}", df, self.columns, f"SELECT {', '.join(items)} FROM {self._name()}", changed=names)
 
     def _sensitive(self, df: DataFrame, changed: Iterable[str]) -> DataFrame:
         """Hidden copies follow the changed columns."""
         return df.withColumns({sensitive_column(c): F.col(quoted(c)) for c in changed if c in self.session.sensitive})
 
-    def transformed(self, function: str, description: str, values: dict[str, Column], visible: Iterable[str], sql: str, operator=OperatorType.TRANSFORMER, track: Iterable[str] = ()) -> TracedFrame:
+    def transformed(self, function: str, description: str, values: dict[str, Column], visible: Iterable[str], sql: str, operator=Op.ENCODE, track: Iterable[str] = ()) -> TracedFrame:
         """A frame with ``values`` set; hidden copies of the ``track`` columns follow them."""
-        return self._next(operator, function, description, self._sensitive(self.df.withColumns(values), track), visible, sql)
+        return self._next(operator, function, description, self._sensitive(self.df.withColumns(values), track), visible, sql, changed=values)
 
     def order_by(self, *names: str, ascending: bool | list[bool] = True) -> TracedFrame:
+        """Sorts; nulls come first in ascending order and last in descending order."""
         self._known(names)
-        return self._next(OperatorType.PROJECTION, "order_by", f"Sort by {list(names)}", self.df.orderBy(*[quoted(n) for n in names], ascending=ascending), self.columns,
-                          f"SELECT * FROM {self._name()} ORDER BY {', '.join(map(quoted, names))}", names)
+        ups = list(ascending) if isinstance(ascending, (list, tuple)) else [ascending] * len(names)
+        order = list(zip(names, map(bool, ups), strict=True))
+        df = self.df.orderBy(*[directed(F.col(quoted(n)), up) for n, up in order])
+        return self._next(Op.SORT, "order_by", f"by {', '.join(n if up else f'{n} descending' for n, up in order)}", df, self.columns, f"SELECT * FROM {self._name()} ORDER BY {order_sql(order)}", order)
 
     def limit(self, n: int) -> TracedFrame:
         """The first ``n`` rows in the frame's order (any ``n`` if it has none)."""
-        return self._next(OperatorType.SELECTION, "limit", f"First {n} rows", self.ordered().limit(n), self.columns, f"SELECT * FROM {self._name()} LIMIT {n}")
+        seen = list(takewhile(lambda x: x[0] in self.columns, self.order))
+        by = f" ORDER BY {order_sql(seen)}" if seen else ""
+        return self._next(Op.LIMIT, "limit", f"first {n} rows", self.ordered().limit(n), self.columns, f"SELECT * FROM {self._name()}{by} LIMIT {n}")
 
     def group_by(self, *keys: str, dropna: bool = False) -> GroupedFrame:
         """Nothing is recorded until ``agg``. Null keys form a group unless ``dropna``."""
@@ -174,15 +194,16 @@ class TracedFrame:
         clash = [c for c in taken if c in fresh and c.startswith(f"{HIDDEN}value_")]
         df = df.withColumns({c: F.coalesce(F.col(quoted(c)), F.col(quoted(fresh[c]))) for c in clash}).drop(*[fresh[c] for c in clash])
         visible = [names[0].get(c, c) for c in self.columns] + [names[1].get(c, c) for c in other.columns if c not in keys]
-        order = [names[0].get(c, c) for c in self.order] + [fresh.get(c, names[1].get(c, c)) for c in other.order]
-        node = self.session.record(OperatorType.JOIN, "merge", f"on {keys} ({how})" if keys else "cross", visible, (self.node, other.node))
+        order = [(names[0].get(c, c), up) for c, up in self.order] + [(fresh.get(c, names[1].get(c, c)), up) for c, up in other.order]
+        node = self.session.record(Op.JOIN, "merge", f"on {keys} ({how})" if keys else "cross", visible, (self.node, other.node))
         test = " AND ".join(f"tb1.{quoted(k)} {'<=>' if null_safe else '='} tb2.{quoted(k)}" for k in keys)
         items = [f"coalesce(tb1.{quoted(c)}, tb2.{quoted(c)}) AS {quoted(c)}" if c in keys else f"tb1.{quoted(c)} AS {quoted(names[0].get(c, c))}" for c in self.columns]
         items += [f"tb2.{quoted(c)} AS {quoted(names[1].get(c, c))}" for c in other.columns if c not in keys]
         sql = f"SELECT {', '.join(items)} FROM {self._name()} tb1 {HOW[how].upper()} JOIN {other._name()} tb2{' ON ' + test if keys else ''}"
         if sort:
-            df, order = df.orderBy(*map(quoted, keys)), [*keys, *[c for c in order if c not in keys]]
-        return TracedFrame(self.session, df, node, visible, [c for c in order if c in df.columns], sql)
+            order = [*[(k, True) for k in keys], *[x for x in order if x[0] not in keys]]
+            df, sql = df.orderBy(*map(quoted, keys)), f"{sql} ORDER BY {order_sql(order[: len(keys)])}"
+        return TracedFrame(self.session, df, node, visible, [x for x in order if x[0] in df.columns], sql)
 
 
 class GroupedFrame:
@@ -200,8 +221,8 @@ class GroupedFrame:
         rows = f.df.dropna("any", None, list(self.keys)) if self.dropna and self.keys else f.df
         df = rows.groupBy(*map(quoted, self.keys)).agg(*[AGGREGATES[fn](F.col(quoted(c))).alias(n) for n, (c, fn) in new.items()])
         df = f._sensitive(df, self.keys)
-        node = f.session.record(OperatorType.GROUP_BY_AGG, "group_by.agg", f"Group by {list(self.keys)}, aggregate {[(n, fn) for n, (_, fn) in new.items()]}", [*self.keys, *new], (f.node,))
-        order = list(self.keys)
+        node = f.session.record(Op.AGGREGATE, "group_by.agg", f"{', '.join(f'{fn}({c})' for c, fn in new.values())} by {', '.join(self.keys) or 'nothing'}", [*self.keys, *new], (f.node,))
+        order = [(k, True) for k in self.keys]
         if f.session.rows:
             df = df.withColumn(row_column(node.node_id), F.xxhash64(*map(quoted, self.keys)) if self.keys else F.lit(0).cast("long"))
         call = lambda c, fn: f"{SQL_AGGREGATES.get(fn, fn)}{' ' if fn == 'nunique' else '('}{quoted(c)})"

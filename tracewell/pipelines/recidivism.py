@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewell.ml import ColumnTransformer, Imputer, KBins, LogisticRegression, OneHot, label_binarize
 from tracewell.sources import read_csv
 
+#: The published file's columns that the pipeline uses.
 USED = ("sex", "dob", "age", "c_charge_degree", "race", "score_text", "priors_count", "days_b_screening_arrest", "decile_score", "is_recid", "two_year_recid", "c_jail_in", "c_jail_out")
 
 
@@ -15,9 +16,8 @@ def labelled(frame):
 
 def training_rows(frame):
     """Cases screened within a month of the arrest, with a known outcome, a charge and a score."""
-    for keep in (lambda f: (f["days_b_screening_arrest"] <= 30) & (f["days_b_screening_arrest"] >= -30), lambda f: f["is_recid"] != -1, lambda f: f["c_charge_degree"] != "O", lambda f: f["score_text"] != "N/A"):
-        frame = frame.where(keep(frame))
-    return frame
+    days = frame["days_b_screening_arrest"]
+    return frame.where((days >= -30) & (days <= 30) & (frame["is_recid"] != -1) & (frame["c_charge_degree"] != "O") & (frame["score_text"] != "N/A"))
 
 
 def recidivism(train_csv: str, test_csv: str) -> dict:

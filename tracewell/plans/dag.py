@@ -56,6 +56,6 @@ class Dag:
     def to_dot(self) -> str:
         """The graph in the DOT language."""
         quote = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"') + '"'
-        nodes = [f"  {quote(n.node_id)} [label={quote(f'{n.context.operator.value}\n{n.description}')}];" for n in self._parents]
+        nodes = [f"  {quote(n.node_id)} [label={quote(f'{n.op.value}\n{n.description}')}];" for n in self._parents]
         edges = [f"  {quote(a.node_id)} -> {quote(b.node_id)};" for a, b in self.edges]
         return "\n".join(["digraph {", *nodes, *edges, "}"])

@@ -8,7 +8,7 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.plans.dag import Dag
-from tracewell.plans.nodes import CodeLocation, DagNode, OperatorContext, OperatorType, caller
+from tracewell.plans.nodes import CodeLocation, DagNode, Op, caller
 
 #: Columns of this prefix are carried along unseen.
 HIDDEN = "__tw_"
@@ -35,14 +35,14 @@ class Session:
         self.frames: dict[DagNode, object] = {}
         self._next, self._missing = 0, -1
 
-    def record(self, operator: OperatorType, function: str, description: str, columns, parents: tuple[DagNode, ...] = ()) -> DagNode:
+    def record(self, operator: Op, function: str, description: str, columns, parents: tuple[DagNode, ...] = ()) -> DagNode:
         """A new node; known operators count up from 0, untracked inputs down from -1."""
-        if operator is OperatorType.MISSING_OP:
+        if operator is Op.FOREIGN:
             node_id, self._missing = self._missing, self._missing - 1
         else:
             node_id, self._next = self._next, self._next + 1
         location: CodeLocation | None = caller() if self.locations else None
-        return self.dag.add(DagNode(node_id, OperatorContext(operator, function), description, tuple(columns), location), parents)
+        return self.dag.add(DagNode(node_id, operator, function, description, tuple(columns), location), parents)
 
     def frame_of(self, node: DagNode) -> DataFrame | None:
         frame = self.frames.get(node)

@@ -19,6 +19,8 @@ def steps(frame) -> list[tuple[str, str]]:
             needed.add(node)
             todo += frame.session.dag.parents(node)
     frames = [frame.session.frames[n] for n in frame.session.dag.topological() if n in needed]
+    if unknown := [f.node for f in frames if f.sql is None]:
+        raise ValueError("SQL cannot express: " + ", ".join(f"{n.function} ({n.description})" for n in unknown))
     return [(f._name(), f.sql) for f in frames]
 
 
@@ -38,3 +40,9 @@ def to_sql(frame, mode: Mode = Mode.CTE, materialize: bool = False) -> str:
         if name in shared:
             out.append(f"CACHE LAZY TABLE {name};")
     return "\n".join([*out, last])
+
+
+def table_script(frame, prefix: str = "") -> str:
+    """Statements that make a table of each source of ``frame``, named as the pipeline's text names it."""
+    named = [(name, query) for name, query in steps(frame) if not frame.session.dag.parents(next(n for n, f in frame.session.frames.items() if f._name() == name))]
+    return "\n".join(f"CREATE TABLE IF NOT EXISTS {prefix}{name} AS\n  {query};" for name, query in named)

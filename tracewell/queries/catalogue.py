@@ -19,8 +19,11 @@ from tracewell.inspections.rows import lineage_of
 from tracewell.inspector import PipelineInspector
 from tracewell.ml import ColumnTransformer, DecisionTree, Imputer, KBins, LogisticRegression, NeuralNetwork, OneHot, Scaler, WordVectors, label_binarize, train_test_split
 from tracewell.operators.frame import TracedFrame, value_ratio
-from tracewell.plans.session import Session, sensitive_column
-from tracewell.sources import read_parquet
+from tracewell.plans.session import Session, row_column, sensitive_column
+from tracewell.plans.sqltext import to_sql
+from tracewell.sources import read_csv, read_parquet
+from tracewell.sources.readers import numbered
+from tracewell.sources.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,10 +200,10 @@ query("value_ratio", "SELECT c_mktsegment AS value, count(*) AS n, round(count(*
 # Row numbers, order, splits.
 
 query("rownum_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer")(
-    lambda t: t.customer.to_df().select("c_custkey").withColumn("rn", F.row_number().over(Window.orderBy("c_custkey")).cast("long")))
+    lambda t: numbered(t.customer.to_df().select("c_custkey").orderBy("c_custkey").persist(), "rn").withColumn("rn", F.col("rn") + 1))
 query("row_identity", "SELECT c_custkey AS row, c_custkey FROM customer", rows=True)(lambda t: t.customer.df.select(F.col("__tw_row_0").alias("row"), "c_custkey"))
 query("top_k_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")(
-    lambda t: t.orders.with_column("minus", 0 - col("o_totalprice")).order_by("minus", "o_orderkey").limit(10).select("o_orderkey", "o_totalprice"))
+    lambda t: t.orders.order_by("o_totalprice", "o_orderkey", ascending=[False, True]).limit(10).select("o_orderkey", "o_totalprice"))
 query("order_by_index", "SELECT * FROM nation ORDER BY n_nationkey")(lambda t: t.nation.order_by("n_nationkey"))
 
 
@@ -211,8 +214,51 @@ def split_counts(t):
 
 
 query("split_sizes", "SELECT count(*) - CAST(ceil(0.25 * count(*)) AS BIGINT) AS train, CAST(ceil(0.25 * count(*)) AS BIGINT) AS test, CAST(0 AS BIGINT) AS shared FROM orders")(split_counts)
-query("split_train")(lambda t: train_test_split(t.orders, key=["o_orderkey"])[0].select("o_orderkey"))
-query("split_test")(lambda t: train_test_split(t.orders, key=["o_orderkey"])[1].select("o_orderkey"))
+SPLIT = "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY ('0x' || substr(md5(o_orderkey::VARCHAR || '|0'), 1, 15))::BIGINT, o_orderkey) AS place, count(*) OVER () AS n FROM orders) WHERE place {} ceil(0.25 * n)"
+query("split_train", SPLIT.format(">"))(lambda t: train_test_split(t.orders, key=["o_orderkey"])[0].select("o_orderkey"))
+query("split_test", SPLIT.format("<="))(lambda t: train_test_split(t.orders, key=["o_orderkey"])[1].select("o_orderkey"))
+query("split_by_sql", SPLIT.format("<="))(lambda t: t.session.spark.sql(to_sql(train_test_split(t.orders, key=["o_orderkey"])[1].select("o_orderkey"))))
+
+
+# Text files.
+
+def written(t, f: TracedFrame, **options) -> str:
+    """The frame as one CSV file in the shared folder, whose rows are in the frame's order."""
+    path = scratch_folder(t.session.spark, "csv")
+    f.ordered().select(*f.columns).coalesce(1).write.options(header=True, **options).csv(path)
+    return path
+
+
+@query("csv_scan", "SELECT n_nationkey, n_name, nullif(n_regionkey, 2) AS n_regionkey FROM nation")
+def csv_scan(t):
+    path = written(t, nulled(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "n_regionkey", 2), nullValue="?")
+    with t.session.active():
+        return read_csv(path, schema="n_nationkey long, n_name string, n_regionkey long")
+
+
+@query("csv_inferred", "SELECT c_custkey, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer WHERE c_acctbal > 0")
+def csv_inferred(t):
+    path = written(t, t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), sep="|")
+    with t.session.active():
+        f = read_csv(path, sep="|")
+        f = f.where(f["c_acctbal"] > 0)
+        return f.with_column("c_acctbal", Expr("CAST({} AS DOUBLE)", col("c_acctbal"))).with_column("c_custkey", Expr("CAST({} AS BIGINT)", col("c_custkey")))
+
+
+@query("csv_lineage", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row, n_nationkey FROM nation", rows=True)
+def csv_lineage(t):
+    path = written(t, t.nation.select("n_nationkey", "n_name").order_by("n_nationkey"))
+    with t.session.active():
+        f = read_csv(path, schema="n_nationkey long, n_name string")
+    return f.df.select(F.col(row_column(f.node.node_id)).alias("row"), "n_nationkey")
+
+
+@query("csv_index", "SELECT n_nationkey AS row, n_name FROM nation")
+def csv_index(t):
+    path = written(t, t.nation.select("n_nationkey", "n_name"))
+    with t.session.active():
+        f = read_csv(path, schema="n_nationkey long, n_name string", index_col=0)
+    return f.df.select(F.col(row_column(f.node.node_id)).alias("row"), "n_name")
 
 
 # Preprocessing.
@@ -235,8 +281,8 @@ query("label_binarize", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 W
     lambda t: label_binarize(t.orders, "o_orderstatus", ["F", "O"]).select("o_orderkey", "o_orderstatus"))
 
 
-def places(f: TracedFrame, key: str, name: str) -> DataFrame:
-    return f.to_df().select(key, F.posexplode(name).alias("position", "value")).withColumn("position", F.col("position").cast("long"))
+def places(f: TracedFrame, key: str, name: str, *kept: str) -> DataFrame:
+    return f.to_df().select(key, *kept, F.posexplode(name).alias("position", "value")).withColumn("position", F.col("position").cast("long"))
 
 
 query("one_hot", """WITH s AS (SELECT c_mktsegment AS v, row_number() OVER (ORDER BY c_mktsegment) - 1 AS position FROM (SELECT DISTINCT c_mktsegment FROM customer))
@@ -344,7 +390,11 @@ def healthcare_features(t, cast: bool = True) -> tuple[ColumnTransformer, Traced
     return ColumnTransformer([("hot", [Imputer("most_frequent"), OneHot()], ["c_mktsegment", "o_orderpriority"]), ("scaled", Scaler(), ["c_acctbal", "o_totalprice"])]), f
 
 
-query("healthcare_features")(lambda t: (lambda c, f: c.fit_transform(f).select("o_orderkey", "features", "label"))(*healthcare_features(t)))
+query("healthcare_features", f"""WITH o AS (SELECT o_orderkey, c_mktsegment AS s, o_orderpriority AS p, CAST(c_acctbal AS DOUBLE) AS a, CAST(o_totalprice AS DOUBLE) AS t, (CAST(o_totalprice AS DOUBLE) > 1.2 * m)::INT AS label {HEALTH}),
+    v AS (SELECT 0 AS k, s AS v FROM o UNION SELECT 1, p FROM o), c AS (SELECT k, v, row_number() OVER (ORDER BY k, v) - 1 AS position FROM v), n AS (SELECT count(*) AS n FROM v), z AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(t) AS mt, stddev_pop(t) AS st FROM o)
+    SELECT o_orderkey, label, position, (CASE k WHEN 0 THEN s ELSE p END = v)::INT::DOUBLE AS value FROM o, c
+    UNION ALL SELECT o_orderkey, label, n, round((a - ma) / sa, 6) FROM o, n, z UNION ALL SELECT o_orderkey, label, n + 1, round((t - mt) / st, 6) FROM o, n, z""")(
+    lambda t: places((lambda c, f: c.fit_transform(f))(*healthcare_features(t)), "o_orderkey", "features", "label").withColumn("value", F.round("value", 6)))
 
 
 @query("compas_like", """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'N' ELSE l_returnflag END AS l_returnflag, CASE l_linestatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 END AS l_linestatus,
@@ -370,7 +420,7 @@ def adult_like(t):
 def model_query(name: str, model) -> None:
     def run(t):
         transformer, f = healthcare_features(t)
-        train, test = train_test_split(f, key=["o_orderkey"])
+        train, test = train_test_split(f, key=["o_orderkey"], freeze=True)
         fitted = transformer.fit(train)
         made = model()
         made.fit(fitted.transform(train), "label")
@@ -406,24 +456,56 @@ def _fit_healthcare(session, sf_dir):
     DecisionTree().fit(transformer.fit_transform(f), "label")
 
 
-def add_inspected(name, run, rows, *checks, inspections=()):
+def add_inspected(name, run, rows, *checks, inspections=(), sql=None):
     def q(spark, sf_dir):
         return inspected(run, *checks, inspections=inspections)(spark, sf_dir, lambda r: rows(spark, r))
 
     QUERIES[name] = q
-
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+#: Histograms of customers (c), of their orders (j), of one row a segment (u) and of the orders of two priorities (f), and the nodes that they are found at.
+COUNTS = """WITH o AS (SELECT c_mktsegment AS v, o_orderpriority AS p FROM customer JOIN orders ON c_custkey = o_custkey), c AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1),
+    j AS (SELECT v, count(*) AS n FROM o GROUP BY 1), u AS (SELECT v, 1 AS n FROM j), f AS (SELECT v, count(*) AS n FROM o WHERE p IN ('1-URGENT', '2-HIGH') GROUP BY 1)"""
+HISTOGRAMS = f"""{COUNTS} SELECT 4 AS node, v AS value, n FROM c UNION ALL SELECT node, v, n FROM j, (VALUES (6), (8), (9)) t(node) UNION ALL SELECT 7, v, n FROM u
+    UNION ALL SELECT node, v, n FROM f, range(10, 22) t(node)"""
+CHANGES = f"""{COUNTS}, b AS (SELECT 0 AS k, v, c.n AS b, j.n AS a FROM c LEFT JOIN j USING (v) UNION ALL SELECT 1, v, u.n, j.n FROM u JOIN j USING (v) UNION ALL SELECT 2, v, j.n, f.n FROM j LEFT JOIN f USING (v) UNION ALL SELECT 3, v, n, n FROM f),
+    s AS (SELECT k, b / sum(b) OVER (PARTITION BY k) AS rb, coalesce(a, 0) / sum(a) OVER (PARTITION BY k) AS ra FROM b), l AS (SELECT k, min((ra - rb) / rb) AS least FROM s GROUP BY k)
+    SELECT operator, description, 'c_mktsegment' AS "column", least >= -0.3 AS acceptable, round(least, 9) AS least FROM l JOIN (VALUES (0, 'join', 'on [''c_custkey''] (inner)'), (1, 'join', 'on [''c_mktsegment''] (inner)'),
+    (2, 'filter', 'rows where (`o_orderpriority` IN (''1-URGENT'', ''2-HIGH''))'), (3, 'encode', 'Imputer of c_mktsegment, o_orderpriority')) d(k, operator, description) USING (k)"""
+EDGES = """SELECT * FROM (VALUES (0, 1, 'project'), (1, 2, 'derive'), (2, 3, 'project'), (3, 5, 'derive'), (4, 6, 'join'), (5, 6, 'join'), (6, 7, 'aggregate'), (6, 8, 'join'), (7, 8, 'join'), (8, 9, 'derive'), (9, 10, 'filter'),
+    (10, 11, 'project'), (11, 12, 'derive'), (12, 13, 'derive'), (13, 14, 'project'), (14, 15, 'encode'), (15, 16, 'encode'), (13, 17, 'project'), (17, 18, 'encode'), (16, 19, 'assemble'), (18, 19, 'assemble'), (19, 20, 'examples'),
+    (19, 21, 'targets'), (20, 22, 'fit'), (21, 22, 'fit')) e(parent, child, operator)"""
+#: The first three orders, orders of customers, and orders of two priorities, in the order of the tables' rows, and the nodes that they are found at.
+FIRST = """WITH a AS (SELECT o_orderkey AS o, NULL AS c, count(*) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - 1 AS i FROM orders), j AS (SELECT o_orderkey AS o, c_custkey AS c, o_orderpriority AS p FROM customer JOIN orders ON c_custkey = o_custkey),
+    b AS (SELECT o, c, count(*) OVER (ORDER BY c, o ROWS UNBOUNDED PRECEDING) - 1 AS i FROM j), d AS (SELECT o, c, count(*) OVER (ORDER BY c, o ROWS UNBOUNDED PRECEDING) - 1 AS i FROM j WHERE p IN ('1-URGENT', '2-HIGH')),
+    r AS (SELECT node, i, o, c FROM a, (VALUES (0), (1), (2), (3), (5)) t(node) UNION ALL SELECT node, i, o, c FROM b, (VALUES (6), (8), (9)) t(node) UNION ALL SELECT node, i, o, c FROM d, (VALUES (10), (11)) t(node))"""
 
 add_inspected("check_table", _fit_healthcare, lambda spark, r: PipelineInspector.check_results_as_data_frame(spark, r.check_to_check_results),
-              NoBiasIntroducedFor(["c_mktsegment"]), NoIllegalFeatures(["c_acctbal"]), NoMissingEmbeddings())
-add_inspected("illegal_features", _fit_healthcare, lambda spark, r: spark.createDataFrame([(x,) for c in r.check_to_check_results.values() for x in c.details["illegal"]], "feature string"), NoIllegalFeatures(["c_acctbal"]))
-add_inspected("dag_edges", _fit_healthcare, lambda spark, r: spark.createDataFrame([(a.node_id, b.node_id, b.context.operator.value, b.description) for a, b in r.dag.edges], "parent long, child long, operator string, description string"))
-add_inspected("bias_overview", _fit_healthcare, lambda spark, r: NoBiasIntroducedFor.overview(spark, next(iter(r.check_to_check_results.values()))), NoBiasIntroducedFor(["c_mktsegment"]))
+              NoBiasIntroducedFor(["c_mktsegment"]), NoIllegalFeatures(["c_acctbal"]), NoMissingEmbeddings(),
+              sql=f"""SELECT 'NoBiasIntroducedFor' AS "check", CASE WHEN bool_and(acceptable) THEN 'Success' ELSE 'Failure' END AS status, CASE WHEN bool_and(acceptable) THEN '' END AS description FROM ({CHANGES})
+              UNION ALL VALUES ('NoIllegalFeatures', 'Failure', 'trained on c_acctbal'), ('NoMissingEmbeddings', 'Success', '')""")
+add_inspected("illegal_features", _fit_healthcare, lambda spark, r: spark.createDataFrame([(x,) for c in r.check_to_check_results.values() for x in c.details["illegal"]], "feature string"), NoIllegalFeatures(["c_acctbal"]),
+              sql="SELECT 'c_acctbal' AS feature")
+add_inspected("dag_edges", _fit_healthcare, lambda spark, r: spark.createDataFrame([(a.node_id, b.node_id, b.op.value) for a, b in r.dag.edges], "parent int, child int, operator string"), sql=EDGES)
+add_inspected("bias_overview", _fit_healthcare, lambda spark, r: NoBiasIntroducedFor.overview(spark, next(iter(r.check_to_check_results.values()))).withColumn("least", F.round("least", 9)), NoBiasIntroducedFor(["c_mktsegment"]), sql=CHANGES)
 add_inspected("histograms_everywhere", _fit_healthcare, lambda spark, r: spark.createDataFrame(
-    [(n.node_id, str(v), c) for n, x in r.dag_node_to_inspection_results.items() for v, c in x[HistogramForColumns(["c_mktsegment"])]["c_mktsegment"].items()], "node long, value string, n long"), inspections=[HistogramForColumns(["c_mktsegment"])])
-add_inspected("first_rows", lambda session, sf_dir: {"x": healthcare(_bound(session, sf_dir))[1]}, lambda spark, r: spark.createDataFrame(
-    [(n.node_id, i, str(row)) for n, x in r.dag_node_to_inspection_results.items() for i, row in enumerate(x[FirstRows(3)] or [])], "node long, i long, row string"), inspections=[FirstRows(3)])
-add_inspected("row_lineage", lambda session, sf_dir: {"x": healthcare(_bound(session, sf_dir))[1]}, lambda spark, r: spark.createDataFrame(
-    [(n.node_id, i, str(row["lineage"])) for n, x in r.dag_node_to_inspection_results.items() for i, row in enumerate(x[RowLineage(3)] or [])], "node long, i long, lineage string"), inspections=[RowLineage(3)])
+    [(n.node_id, v, c) for n, x in r.dag_node_to_inspection_results.items() for v, c in x[HistogramForColumns(["c_mktsegment"])]["c_mktsegment"].items()], "node long, value string, n long"), inspections=[HistogramForColumns(["c_mktsegment"])], sql=HISTOGRAMS)
+
+
+def _healthcare(session, sf_dir):
+    return {"x": healthcare(_bound(session, sf_dir))[1]}
+
+
+add_inspected("first_rows", _healthcare, lambda spark, r: spark.createDataFrame(
+    [(n.node_id, i, row["o_orderkey"]) for n, x in r.dag_node_to_inspection_results.items() if "o_orderkey" in n.columns for i, row in enumerate(x[FirstRows(3)])], "node long, i long, o_orderkey long"),
+    inspections=[FirstRows(3)], sql=f"{FIRST} SELECT node, i, o AS o_orderkey FROM r WHERE i < 3")
+# Rows of aggregates are numbered by a hash that SQL does not have; the rows of the two tables are compared.
+add_inspected("row_lineage", _healthcare, lambda spark, r: spark.createDataFrame(
+    [(n.node_id, i, x["op"], x["row"]) for n, y in r.dag_node_to_inspection_results.items() for i, row in enumerate(y[RowLineage(3)] or []) for x in row["lineage"] if x["op"] in (0, 4)], "node long, i long, source long, row long"),
+    inspections=[RowLineage(3)], sql=f"""{FIRST}, s AS (SELECT node, i, 0 AS source, o AS row FROM r UNION ALL SELECT node, i, 4, c FROM r WHERE c IS NOT NULL UNION ALL SELECT 4, c_custkey, 4, c_custkey FROM customer)
+    SELECT node, i, source, row FROM s WHERE i < 3""")
 QUERIES["sql_text"] = lambda spark, sf_dir: spark.sql(PipelineInspector.on_pipeline(lambda s: {"x": healthcare(_bound(s, sf_dir))[1]}).translate(spark)[0])
 ORACLE_SQL["sql_text"] = ORACLE_SQL["healthcare_like"]
 

@@ -8,7 +8,7 @@ import time
 import numpy as np
 
 from tracewell.operators.frame import TracedFrame
-from tracewell.plans.sqltext import Mode, to_sql
+from tracewell.plans.sqltext import Mode, table_script, to_sql
 
 
 def write_parquet(frame: TracedFrame, path: str, mode: str = "error") -> None:
@@ -23,11 +23,13 @@ def to_numpy(frame: TracedFrame) -> np.ndarray:
     return np.hstack([p if p.ndim == 2 else p.reshape(-1, 1) for p in parts]) if parts else np.zeros((0, 0))
 
 
-def write_sql(frame: TracedFrame, path: str, mode: Mode = Mode.CTE, materialize: bool = False) -> str:
-    """The pipeline up to ``frame`` as a SQL file; returns the text."""
+def write_sql(frame: TracedFrame, path: str, mode: Mode = Mode.CTE, materialize: bool = False, tables_path: str | None = None) -> str:
+    """The pipeline up to ``frame`` as a SQL file, and beside it (``tables_path``) one that makes tables of its sources; returns the pipeline's text."""
     text = to_sql(frame, mode, materialize)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    for where, what in ((path, text), (tables_path, table_script(frame))):
+        if where:
+            with open(where, "w", encoding="utf-8") as f:
+                f.write(what)
     return text
 
 
