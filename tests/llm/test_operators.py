@@ -328,7 +328,8 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.7) == bool(y) for i, _, y in held) and got[9000] < 0.7 and got[None] == got[9000]
     text = rows[0][1]
     assert {text[a:b] for a, b, _ in model.spans(text)} & {"vilescum", "vilerat", "grotmug", "grotbag"}
-    assert toxicity.with_spans(df.where("doc_id = 0"), model).first()["toxic_spans"]
+    marked = toxicity.score(df.where("doc_id = 0"), model).first()
+    assert [(x["start"], x["end"]) for x in marked["toxic_spans"]] == [(a, b) for a, b, _ in model.spans(text)]
     assert [r["score"] for r in toxicity.score(df.limit(2), toxicity.fit(df, labels.where("false"))).collect()] == [0.0, 0.0]
     assert toxicity.score(df.where("false"), model).count() == 0 and toxicity.score(df.where("false"), 0.0).count() == 0
     blank = spark.createDataFrame([(i, " " * i) for i in range(8)], "doc_id long, text string")

@@ -231,21 +231,31 @@ class ToxicField:
             self.t -= 0.1 * RATE * g / np.sqrt(gt)
             self.bias -= RATE * d.sum() / len(pick) / np.sqrt(gb)
 
+    def judge(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """(probability that it is toxic, offending spans) of each text; a bounded number of characters is worked on at a time."""
+        out = []
+        for some in groups(texts):
+            for text, m in zip(some, self.tag(some), strict=True):
+                out.append((float(sigmoid(self.summary(m) @ self.top[:3] + self.top[3])), self._spans(text, m) if len(m) and m.max() >= SPAN else []))
+        return out
+
     def score(self, texts: list[str | None]) -> list[float]:
-        """The probability that each text is toxic; a bounded number of characters is worked on at a time."""
-        return [float(sigmoid(self.summary(m) @ self.top[:3] + self.top[3])) for some in groups(texts) for m in self.tag(some)]
+        return [p for p, _ in self.judge(texts)]
 
-    def spans(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, marginal) of runs of words that the field holds toxic; code points, end exclusive; the largest marginal of the run."""
-        at = [(a, b) for _, a, b in places(text or "")]
+    @staticmethod
+    def _spans(text: str | None, marginal: np.ndarray) -> list[tuple[int, int, float]]:
         out: list[tuple[int, int, float]] = []
         last = -2
-        for i, ((a, b), p) in enumerate(zip(at, self.tag([text])[0], strict=True)):
+        for i, ((_, a, b), p) in enumerate(zip(places(text or ""), marginal, strict=True)):
             if p >= SPAN:
                 out = [*out[:-1], (out[-1][0], max(b, out[-1][1]), max(out[-1][2], float(p)))] if last == i - 1 else [*out, (a, b, float(p))]
                 last = i
         return out
 
+    def spans(self, text: str | None) -> list[tuple[int, int, float]]:
+        """(start, end, marginal) of runs of words that the field holds toxic; code points, end exclusive; the largest marginal of the run."""
+        return self.judge([text])[0][1]
+
 
 def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> ToxicField | float:
     """A field fitted on about ``n`` labelled documents outside the held-out third, or the label they all have (0 if there are none)."""
@@ -253,26 +263,27 @@ def fit(docs: DataFrame, labels: DataFrame, n: int = SAMPLE_ROWS) -> ToxicField
     return ToxicField().fit(texts, y) if 0 < y.sum() < len(y) else float(y.mean()) if len(y) else 0.0
 
 
-def score(docs: DataFrame, model: ToxicField | float) -> DataFrame:
-    """``docs`` with ``score``, the probability that the whole text is toxic; a null text is scored like an empty one."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()) if isinstance(model, ToxicField) else [model] * len(texts), dtype="float64")
+SPANS = "array<struct<start:int,end:int,marginal:double>>"
 
-    return docs.withColumn("score", scored(F.coalesce("text", F.lit(""))))
 
+def score(docs: DataFrame, model: ToxicField | float) -> DataFrame:
+    """``docs`` with ``score``, the probability that the whole text is toxic, and ``toxic_spans``, where (in the place of columns of those names).
+
+    A null text is scored like an empty one. Where there was nothing to learn from, scores are all the same and there are no spans.
+    """
 
-def with_spans(docs: DataFrame, model: ToxicField) -> DataFrame:
-    """``docs`` with ``toxic_spans``: array of (start, end, marginal)."""
-    @F.udf("array<struct<start:int,end:int,marginal:double>>", useArrow=True)
-    def spans(text):
-        return model.spans(text)
+    @F.pandas_udf(f"score double, toxic_spans {SPANS}")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        found = model.judge(texts.tolist()) if isinstance(model, ToxicField) else [(model, [])] * len(texts)
+        return pd.DataFrame({"score": [p for p, _ in found], "toxic_spans": [[{"start": a, "end": b, "marginal": p} for a, b, p in spans] for _, spans in found]})
 
-    return docs.withColumn("toxic_spans", spans("text"))
+    made = docs.select(F.struct("*").alias("row"), judged(F.coalesce("text", F.lit(""))).alias("made"))
+    return made.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("score", "toxic_spans")], "made.score", "made.toxic_spans")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, held_out, score, predicted."""
+    """All documents: doc_id, held_out, score, predicted, and the offending spans (start:end, joined by commas)."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     rows = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return rows.select("doc_id", (held_out_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    spans = F.array_join(F.transform("toxic_spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return rows.select("doc_id", (held_out_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), spans.alias("toxic_spans"))
