@@ -122,3 +122,14 @@ def test_table_script(spark, session, tmp_path):
     for statement in script.rstrip(";").split(";\n"):
         spark.sql(statement.replace("CREATE TABLE IF NOT EXISTS", "CREATE OR REPLACE TEMPORARY VIEW"))
     assert spark.table(f._name()).count() == 2
+
+
+def test_columns_of_another_frame(session):
+    f, g = tw.data_frame({"a": [1, 2]}), tw.data_frame({"a": [3, 4]})
+    for wrong in (lambda: f.with_column("b", g["a"] + 1), lambda: f.where((f["a"] > 0) & (g["a"] > 3))):
+        with pytest.raises(ValueError, match="another frame"):
+            wrong()
+    kept = f.where(f["a"] > 0)
+    assert shown(kept.with_column("b", f["a"] * kept["a"])) == [(1, 1), (2, 4)], "columns of what a frame was made from are its own"
+    both = f.merge(g.with_column("k", g["a"] - 2).select("k"), how="cross")
+    assert len(shown(both.where(f["a"] == both["k"]))) == 2

@@ -35,13 +35,14 @@ class Expr:
     """A column expression. Operators build larger ones and keep their nesting, so precedence is never lost.
 
     Comparisons follow SQL: with a null on either side they are null, and a filter drops the row. ``same_as`` treats nulls as
-    equal. Division by zero gives null.
+    equal. Division by zero gives null. ``origins`` are the nodes of the frames whose columns were named as ``frame["c"]``.
     """
 
     __hash__ = None
 
-    def __init__(self, template: str, *parts: Expr, columns: Iterable[str] = ()):
+    def __init__(self, template: str, *parts: Expr, columns: Iterable[str] = (), origins: Iterable = ()):
         self.template, self.parts = template, parts
+        self.origins = frozenset(origins).union(*(p.origins for p in parts))
         self.columns = tuple(dict.fromkeys([*columns, *(c for p in parts for c in p.columns)]))
 
     def sql(self) -> str:
@@ -90,9 +91,9 @@ class Expr:
         return Expr("CASE WHEN {} THEN {} ELSE {} END", self, lit(value), lit(otherwise))
 
 
-def col(name: str) -> Expr:
+def col(name: str, *origins) -> Expr:
     quoted = "`" + name.replace("`", "``") + "`"
-    return Expr(quoted, columns=[name])
+    return Expr(quoted, columns=[name], origins=origins)
 
 
 def lit(value) -> Expr:

@@ -65,7 +65,7 @@ class TracedFrame:
         """``frame["c"]`` is an expression; a list of names projects; an expression filters."""
         if isinstance(key, str):
             self._known([key])
-            return col(key)
+            return col(key, self.node)
         return self.where(key) if isinstance(key, Expr) else self.select(*key)
 
     # One relation in, one out.
@@ -74,6 +74,18 @@ class TracedFrame:
         if missing := [n for n in names if n not in self.columns]:
             raise KeyError(f"no such columns: {missing}; there are {self.columns}")
 
+    def _usable(self, value: Expr) -> None:
+        """Columns must be there, and be this frame's or those of a frame it was made from: rows of other frames are in no known relation to its rows."""
+        self._known(value.columns)
+        mine, todo = set(), [self.node]
+        while todo and not value.origins <= mine:
+            node = todo.pop()
+            if node not in mine:
+                mine.add(node)
+                todo += self.session.dag.parents(node)
+        if others := value.origins - mine:
+            raise ValueError(f"{value.sql()} has columns of another frame ({', '.join(sorted(o.function for o in others))}); merge the two on a key first")
+
     def _name(self) -> str:
         return f"op_{self.node.node_id}".replace("-", "x")
 
@@ -95,7 +107,7 @@ class TracedFrame:
 
     def where(self, condition: Expr) -> TracedFrame:
         """Keeps rows for which the condition is true; columns that were projected away in this frame cannot be named."""
-        self._known(condition.columns)
+        self._usable(condition)
         return self._next(Op.FILTER, "where", f"rows where {condition.sql()}", self.df.where(condition.column()), self.columns, f"SELECT * FROM {self._name()} WHERE {condition.sql()}")
 
     def where_select(self, condition: Expr, *names: str) -> TracedFrame:
@@ -115,7 +127,7 @@ class TracedFrame:
     def with_column(self, name: str, value) -> TracedFrame:
         """Adds a column, or replaces the one of that name; ``value`` is an expression or a constant."""
         value = lit(value)
-        self._known(value.columns)
+        self._usable(value)
         df = self._sensitive(self.df.withColumn(name, value.column()), [name])
         new = name not in self.columns
         star = f"SELECT *, {value.sql()} AS {quoted(name)} FROM {self._name()}" if new else "SELECT " + ", ".join(f"{value.sql()} AS {quoted(c)}" if c == name else quoted(c) for c in self.columns) + f" FROM {self._name()}"
