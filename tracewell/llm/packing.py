@@ -168,7 +168,7 @@ class Packer:
             else:
                 # The longest prefix of each with no more tokens and no more loss-bearing tokens than are left; of equal ones, of the longest.
                 most = np.minimum(np.minimum(size[:, 0], left[0]), size[:, 0] - size[:, 2] + left[2])
-                k = int(np.lexsort((size[:, 0], most))[-1])
+                k = int((most * 2.0**32 + size[:, 0]).argmax())
                 if most[k] <= 0:
                     break
                 take = int(most[k])
