@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import groups
+from tracewell.llm.common import groups, n_words
 
 CAPACITY, MAX_SEGMENTS, MAX_LOSS, END_ID = 4096, 64, 4064, 2
 POOL, POOL_TOKENS = 512, 1 << 20
@@ -199,8 +199,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
          capacity: int = CAPACITY, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """Pieces of all examples with their place: ``SCHEMA``, one row per piece.
 
-    ``prompt`` is the number of an example's leading characters whose tokens bear no loss (none unless given); what follows them is to be
-    white space, so that no token lies across. ``max_loss`` is ``capacity`` unless given. A null or empty text has only the end id. Repeated rows and null ids are
+    ``prompt`` is the number of an example's leading tokens that bear no loss (none unless given). ``max_loss`` is ``capacity`` unless given. A null or empty text has only the end id. Repeated rows and null ids are
     packed like any other row; an empty table gives no rows. ``sequence_id`` is unique over the table, as its upper bits are the
     partition's number.
     """
@@ -218,9 +217,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         end = np.array([END_ID], dtype="<u4")
         for b in batches:
             for group in groups(zip(*(map(lambda x: x.as_py(), c) for c in b.columns), strict=True), length=lambda row: len(row[1] or "")):
-                heads = encode([(text or "")[:n] for _, text, n in group])
-                for (doc_id, _, _), head, ids in zip(group, heads, encode([row[1] or "" for row in group]), strict=True):
-                    packer.add(doc_id, np.concatenate([ids, end]), len(head))
+                for (doc_id, _, n), ids in zip(group, encode([row[1] or "" for row in group]), strict=True):
+                    packer.add(doc_id, np.concatenate([ids, end]), n)
                 if len(packer.rows) >= 20_000:
                     yield out()
         packer.finish()
@@ -231,12 +229,13 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
 
 def first_line(text: Column) -> Column:
-    """Characters of the first of several lines, 0 if there is only one."""
-    return F.greatest(F.instr(text, "\n") - 1, F.lit(0))
+    """Words of the first of several lines, 0 if there is only one. A word has a token at least, so as many leading tokens lie within that line."""
+    return F.when(F.contains(text, F.lit("\n")), n_words(F.substring_index(text, "\n", 1))).otherwise(0)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Documents in sequences of at most 4096 tokens, 64 pieces and 4064 loss-bearing tokens; a document's first line counts as its prompt."""
+    """Documents in sequences of at most 4096 tokens, 64 pieces and 4064 loss-bearing tokens. Of a document of several lines
+    as many leading tokens count as its prompt as the first line has words."""
     return pack(docs, prompt=first_line(F.col("text")), max_loss=MAX_LOSS)
 
 
