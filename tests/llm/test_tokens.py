@@ -12,6 +12,7 @@ def test_every_letter_is_in_a_word():
     for text in ("you,idiot great—idiot and/or/idiot x2y 12 --", "漢" * 50 + "、字典", "Donaudampfschifffahrtsgesellschaft"):
         places = toxicity.places(text)
         assert {i for i, c in enumerate(text) if c.isalpha()} <= {i for _, a, b in places for i in range(a, b)}
+        assert toxicity.tokens(text) == [w for w, _, _ in places]
         assert all(text[a:b] == w.lstrip(toxicity.MARK) for w, a, b in places)
 
 

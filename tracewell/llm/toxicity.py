@@ -38,19 +38,29 @@ TOKEN = re.compile(CORE.pattern + r"|(?<!\S)(?:(?![^\W\d_])\S)++(?!\S)")
 LONG, GRAM, MARK = 16, 3, "\0"
 
 
+def _long(w: str) -> bool:
+    return len(w) > LONG or (not w.isascii() and len(w) > 1 and w.lower() == w.upper())
+
+
 def places(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end): every run of letters and, within long runs and scripts without case, what begins at each letter of it."""
     out = []
     for m in TOKEN.finditer(text):
         w, at, end = m[0], m.start(), m.end()
         out.append((w, at, end))
-        if len(w) > LONG or (len(w) > 1 and not w.isascii() and w.lower() == w.upper()):
+        if _long(w):
             out += [(MARK + w[i : i + GRAM], at + i, min(end, at + i + GRAM)) for i in range(len(w) - 1)]
     return out
 
 
 def tokens(text: str | None) -> list[str]:
-    return [w for w, _, _ in places(text or "")]
+    """The words of ``places`` without their offsets, which most texts need not have."""
+    out = []
+    for w in TOKEN.findall(text or ""):
+        out.append(w)
+        if _long(w):
+            out += [MARK + w[i : i + GRAM] for i in range(len(w) - 1)]
+    return out
 
 
 def features(word: str) -> list[str]:
