@@ -59,3 +59,41 @@ def test_near_copies_of_similarity_80(spark, monkeypatch, hot):
     got = sorted((x["doc_id"] for x in kept.collect()), key=lambda x: (x is None, x or 0))
     assert got == sorted((x[0] for x in brute_kept(rows)), key=lambda x: (x is None, x or 0))
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("cell", "grams"), [(256, 1 << 20), (4, 1 << 20), (256, 700)])
+def test_links_within_bands_that_many_share(spark, monkeypatch, cell, grams):
+    """Edits of texts that are not there themselves, about as similar as asked for: chains of links, found whatever their band's size and cells."""
+    monkeypatch.setattr(similar, "HOT_BAND", 2)
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "CELL_GRAMS", grams)
+    r, rows = np.random.default_rng(12), []
+    for k in range(12):
+        words = list(r.choice(WORDS, 150))
+        rows += [(1000 * k + i, edited(words, r, 2)) for i in range(12)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(x[0] for x in brute_kept(rows))
+
+
+def test_links_of_two_cells(monkeypatch):
+    """The links connect what all similar pairs of a left and a right set connect, and are as few as that takes."""
+    monkeypatch.setattr(similar, "COLUMNS", 7)
+    r = np.random.default_rng(3)
+    for k in range(60):
+        base = r.choice(1 << 31, 20, replace=False).astype("<u4")
+        sets = [np.unique(np.concatenate((r.permutation(base)[: r.integers(17, 21)], r.choice(1 << 31, r.integers(0, 4)).astype("<u4")))) for _ in range(14)] + [np.array([5 + k], "<u4")]
+        root = r.integers(0, 9, 15)
+        left = np.ones(15, dtype=bool) if k % 2 else np.arange(15) < 7
+        right = left if k % 2 else ~left
+
+        def joined(pairs, root=root):
+            label = list(root)
+            for i, j in pairs:
+                label = [label[j] if x == label[i] else x for x in label]
+            return len(set(label)), [[a == b for a in label] for b in label]
+
+        pairs = [(i, j) for i in np.flatnonzero(left) for j in np.flatnonzero(right) if i != j and similar.jaccard(sets[i], sets[j]) >= 0.8]
+        found = similar.found_links(root, left, right, sets, 0.8)
+        assert set(found) <= set(pairs) and joined(found) == joined(pairs)
+        assert len(found) == len(set(root)) - joined(pairs)[0]
+    assert similar.found_links(root[-2:], left[-2:], left[-2:], [np.array([1], "<u4"), np.array([2], "<u4")], 0.8) == []

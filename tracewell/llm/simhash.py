@@ -15,8 +15,8 @@ fingerprint, the centre of a component), the frequent keys are broadcast (``comm
 ``keep_first`` is the operator as a filter: one document of each group of texts whose sets of word shingles are as
 similar as asked for. 64 bits tell that only for texts that are nearly equal (two texts of similarity 0.8 differ in ten bits
 on average, for which no choice of blocks is both complete and selective), so pairs that blocks bring together are
-joined by pairs that share a band of min-hashes (``similar``), and each pair is verified: first by Hamming distance, then on the
-whole sets.
+joined by pairs that share a band of min-hashes (``similar``), and each pair is verified on the whole sets. Of a band that many
+texts share, those that are not yet in one component are compared with each other too.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from tracewell.llm.common import cut, looked_up
 BITS, BLOCKS, MAX_DISTANCE, SHINGLE, SEED = 64, 5, 2, 3, 42
 #: Different fingerprints that may share a block key before the key is handled by one-bit neighbours instead.
 HOT_BLOCK = 32
-#: Shingle and greatest distance of the filter's fingerprints: texts of similarity 0.8 differ in 10 bits, and in over 28 once in 10^8 pairs.
-TEXT_SHINGLE, FAR = 5, 28
+#: Shingle of the filter's fingerprints.
+TEXT_SHINGLE = 5
 #: Shingles whose bits are unpacked at a time.
 ROWS = 1 << 15
 
@@ -194,33 +194,41 @@ def described(docs: DataFrame, shingle: int, grams: bool = False) -> DataFrame:
 
 
 def similar_texts(texts: DataFrame, rows: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b), a > b: pairs of nodes of ``rows`` (what ``described`` says of ``texts``) whose sets are as similar as ``similarity``.
+    """(a, b): links between nodes of ``rows`` (what ``described`` says of ``texts``) that connect all pairs whose sets are as similar as ``similarity``.
 
-    Nodes meet by equal fingerprints, by blocks of fingerprints (``links``) and by bands of min-hashes, and each pair that meets
-    is verified. Sets are made again of the texts of those nodes only, one text a node.
+    Nodes meet by bands of min-hashes, which alone tell what is found, and besides by equal fingerprints and by blocks of
+    fingerprints (``links``). Pairs are verified. Then the members of bands that many share are compared, unless they are in one
+    component by now. Sets are made again of the texts of those nodes only, one text a node.
     """
     # The texts of a node are equal in words, so any of them will do.
     nodes = cut(rows.where("size > 0").groupBy("node").agg(F.min_by(F.struct("doc_id", "t", "fp", "size", "bands"), "t").alias("x")).select("node", "x.*"))
+    total = nodes.count()
     reps = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("records")))
-    folded = looked_up(nodes.select("node", "fp"), reps, ["fp"], nodes.count()).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    folded = looked_up(nodes.select("node", "fp"), reps, ["fp"], total).select(F.col("node").alias("a"), F.col("rep").alias("b"))
     at = lambda old, new: reps.select(F.col("fp").alias(old), F.col("rep").alias(new))
     near = links(reps.select("fp")).join(at("a", "x"), "a").join(at("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    met = folded.union(near).union(similar.candidates(nodes, similarity)).where("a <> b")
+    shared, total = similar.shared_bands(nodes), total * similar.BANDS
+    met = folded.union(near).union(similar.candidates(nodes, shared, total, similarity)).where("a <> b")
     pairs = cut(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(shared.where(F.col("members") > similar.HOT_BAND).select("node")).distinct()
     wanted = nodes.join(ends, "node").select(F.col("doc_id").alias("d"), F.col("t").alias("k"))
     own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k")), "left_semi")
-    kept = described(own, shingle, grams=True).dropDuplicates(["node"]).join(nodes.select("node", "fp"), "node")
-    kept = cut(kept)
-    a, b = kept.select(F.col("node").alias("a"), F.col("grams").alias("x"), F.col("fp").alias("p")), kept.select(F.col("node").alias("b"), F.col("grams").alias("y"), F.col("fp").alias("q"))
-    both = pairs.join(a, "a").join(b, "b").where(F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= FAR).select("a", "b", "x", "y")
+    kept = cut(described(own, shingle, grams=True).dropDuplicates(["node"]))
+    a, b = kept.select(F.col("node").alias("a"), F.col("grams").alias("x")), kept.select(F.col("node").alias("b"), F.col("grams").alias("y"))
 
     def run(batches):
         for batch in batches:
             alike = [similar.jaccard(np.frombuffer(x.as_py(), dtype="<u4"), np.frombuffer(y.as_py(), dtype="<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    alike = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    linked = cut(components(alike))
+    roots = linked.union(linked.select("root", "root").distinct())
+    rest = similar.unsettled(shared, roots, total)
+    if rest.isEmpty():
+        return linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = similar.compared(similar.cells_met(rest, total), kept, similarity)
+    return linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
 
 
 def keep_first(docs: DataFrame, shingle: int = TEXT_SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
