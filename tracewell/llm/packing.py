@@ -53,6 +53,8 @@ class Encoder:
     """
 
     RUN = re.compile(r"[^\W\d_]+|(?:[\d_]|[^\w \t\n\r])+")
+    #: The same for lower-case ASCII, several times as fast.
+    ASCII_RUN = re.compile("[a-z]+|[^a-z \t\n\r]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -77,11 +79,12 @@ class Encoder:
         low = text.lower()
         if "\u03a3" in text or not is_normalized("NFC", low):
             low = text
+        split = (self.ASCII_RUN if low.isascii() else self.RUN).findall
         if "'" not in low:
-            return self.RUN.findall(low)
+            return split(low)
         found = []
         for piece in re.split("[ \t\n\r]+", low):
-            found += [piece] if "'" in piece else self.RUN.findall(piece)
+            found += [piece] if "'" in piece else split(piece)
         return found
 
     def _encode(self, new: list[str]) -> dict[str, bytes]:
